@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from tidewright.llm.packing import op2_packing
+from tidewright.llm.quality import op4_quality
 from tidewright.llm.token_files import op7_token_files
 
 QUERIES = {
     "op2_packing": op2_packing,
+    "op4_quality": op4_quality,
     "op7_token_files": op7_token_files,
 }
 
