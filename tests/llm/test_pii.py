@@ -1,0 +1,94 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+
+from tests.llm.helpers import ODD_TEXTS, SCHEMA, docs_frame
+from tidewright.llm import pii
+from tidewright.llm.common import documents
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def brute(text):
+    out = []
+    for kind, p in PATTERNS.items():
+        for m in re.finditer(p, text or ""):
+            d = re.sub(r"[^0-9]", "", m.group())
+            good = {"email": True, "ip": all(int(x) <= 255 for x in m.group().split(".")) if kind == "ip" else 0, "card": 13 <= len(d) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0, "phone": 9 <= len(d) <= 15}[kind]
+            if good:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+def check(out, rows):
+    assert len(out) == len(rows)
+    texts = {}
+    for d, t in rows:
+        texts.setdefault(d, t)
+    for r in out:
+        want = brute(texts[r["doc_id"]])
+        assert [r[f"n_{k}"] for k in PATTERNS] == [sum(w.startswith(k) for w in want) for k in PATTERNS]
+        assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert set(want) <= set(filter(None, r["spans"].split(",")))
+
+
+def test_base_matches_brute_force(spark, sf):
+    check(pii.op1_pii(spark, sf).collect(), [(r["doc_id"], r["text"]) for r in documents(spark, sf).collect()])
+
+
+def test_random_texts():
+    rng = random.Random(3)
+    for alphabet in ("a.@1-+ ", "0123456789. -+()", "1.2 5@b", "é1.0@a+"):
+        for _ in range(3000):
+            t = "".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 40)))
+            assert [f"{k}:{a}:{b}" for k, a, b in pii.base_spans(t)] == brute(t), t
+
+
+def test_odd_rows(spark):
+    docs = docs_frame(spark, [*ODD_TEXTS, "1" * 100_000, "a" * 50_000 + "@", "ümlaut 4111111111111111 é +1 (555) 010-0000 x"]).unionByName(spark.createDataFrame([(3, "one", "en", None, 3, "x"), (None, None, None, None, None, None)], SCHEMA))
+    check(pii.detect(docs).collect(), [(r["doc_id"], r["text"]) for r in docs.collect()])
+    out = {r["doc_id"]: r for r in pii.mask(docs).collect()}
+    assert out[6]["text"] == "mail [EMAIL], [PHONE]; [CARD] at [IP].\nline\nline"
+    assert out[6]["n_chars"] == len(out[6]["text"]) and out[6]["queue"] == "clash"
+    assert pii.detect(docs.limit(0)).count() == 0
+
+
+def test_viterbi_is_exact():
+    model = pii.default_model()
+    rng = np.random.default_rng(2)
+    segs = [rng.normal(size=(n, len(pii.LABELS))) * 3 for n in (1, 2, 3, 4)]
+    import itertools
+
+    for seg, path in zip(segs, model.decode(segs)):
+        score = lambda y: sum(seg[t, k] for t, k in enumerate(y)) + sum(model.step[a, b] for a, b in zip(y, y[1:]))
+        best = max(itertools.product(range(len(pii.LABELS)), repeat=len(seg)), key=score)
+        assert score(path) == pytest.approx(score(best))
+
+
+def test_crf_finds_what_no_pattern_states():
+    model = pii.default_model()
+    text = 'the token = "9e1a5499e3950eabef3742d6cf4ab8ca1b325bc4" and 7844238401328225 there, in 1999 and 2.0'
+    raw = np.frombuffer(text.encode(), np.uint8)
+    spans = pii.crf_spans(model, raw, np.array([0, len(raw)]))[0]
+    got = {(k, text[a:b]) for k, a, b in spans}
+    assert got == {("secret", "9e1a5499e3950eabef3742d6cf4ab8ca1b325bc4"), ("card", "7844238401328225")}
+
+
+def test_held_out_lines():
+    table = pii.parse_labelled(pii.LABELLED)
+    right = total = 0
+    for fold in range(4):
+        model = pii.train([x for i, x in enumerate(table) if i % 4 != fold])
+        for tokens, labels in [x for i, x in enumerate(table) if i % 4 == fold]:
+            path = model.decode([model.scores(tokens)])[0]
+            right += sum(pii.LABELS[p] == y for p, y in zip(path, labels))
+            total += len(labels)
+    assert right / total > 0.85

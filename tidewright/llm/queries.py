@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from tidewright.llm.html_text import op8_html_text
 from tidewright.llm.packing import op2_packing
+from tidewright.llm.pii import op1_pii
 from tidewright.llm.quality import op4_quality
 from tidewright.llm.token_files import op7_token_files
+from tidewright.llm.warc import op6_warc
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_packing": op2_packing,
     "op4_quality": op4_quality,
+    "op6_warc": op6_warc,
     "op7_token_files": op7_token_files,
+    "op8_html_text": op8_html_text,
 }
 
 ORACLE_SQL: dict[str, str] = {}
