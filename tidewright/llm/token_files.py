@@ -128,9 +128,8 @@ def write_token_files(docs: DataFrame, folder: str, end_id: int = 2, path: str |
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
     table = staged(ranged.mapInArrow(tokenize, "doc_id long, range int, row long, ids binary, seen array<long>, times array<long>"), "ids")
 
-    pairs = table.where(F.col("row") == -1).select(F.explode(F.arrays_zip("seen", "times")).alias("p"))
-    counts = pairs.groupBy(F.col("p.seen").alias("id")).agg(F.sum("p.times").alias("times")).collect()  # at most the vocabulary
-    order = [r["id"] for r in sorted(counts, key=lambda r: (-r["times"], r["id"]))]
+    counts = corpus_counts(table.where(F.col("row") == -1).select("seen", "times"))
+    order = sorted(np.flatnonzero(counts).tolist(), key=lambda i: (-int(counts[i]), i))
     id_of_rank = np.array(order, np.uint32)
     rank_of_id = np.zeros(int(id_of_rank.max()) + 1 if order else 1, np.uint32)
     rank_of_id[id_of_rank] = np.arange(len(order), dtype=np.uint32)
@@ -176,6 +175,28 @@ def write_token_files(docs: DataFrame, folder: str, end_id: int = 2, path: str |
     return spark.createDataFrame(rows, kind)
 
 
+def corpus_counts(tables: DataFrame, wide: int = 64) -> np.ndarray:
+    """The sum of the tasks' count tables (seen, times): at most ``wide`` partial sums, each of the vocabulary's size, reach the driver."""
+
+    def add(batches):
+        import pyarrow as pa
+
+        total = np.zeros(0, np.int64)
+        for b in batches:
+            for i in range(b.num_rows):
+                seen, times = (np.asarray(b.column(c)[i].values) for c in (0, 1))
+                have = np.zeros(int(seen.max()) + 1 if len(seen) else 0, np.int64)
+                have[seen] = times
+                total = _added(total, have)
+        if len(total):
+            yield pa.RecordBatch.from_pydict({"counts": [total.tobytes()]})
+
+    total = np.zeros(0, np.int64)
+    for r in tables.coalesce(wide).mapInArrow(add, "counts binary").collect():
+        total = _added(total, np.frombuffer(r["counts"], np.int64))
+    return total
+
+
 def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     if len(a) < len(b):
         a, b = b, a
