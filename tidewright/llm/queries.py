@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidewright.llm.html_text import op8_html_text
+from tidewright.llm.near_dup import op9_minhash
 from tidewright.llm.packing import op2_packing
 from tidewright.llm.pii import op1_pii
 from tidewright.llm.quality import op4_quality
@@ -16,6 +17,7 @@ QUERIES = {
     "op6_warc": op6_warc,
     "op7_token_files": op7_token_files,
     "op8_html_text": op8_html_text,
+    "op9_minhash": op9_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
