@@ -7,17 +7,21 @@ from tidewright.llm.near_dup import op9_minhash
 from tidewright.llm.packing import op2_packing
 from tidewright.llm.pii import op1_pii
 from tidewright.llm.quality import op4_quality
+from tidewright.llm.suffix_sort import op10_suffix_sort
+from tidewright.llm.suffix_tree import op3_suffix_trees
 from tidewright.llm.token_files import op7_token_files
 from tidewright.llm.warc import op6_warc
 
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_packing": op2_packing,
+    "op3_suffix_trees": op3_suffix_trees,
     "op4_quality": op4_quality,
     "op6_warc": op6_warc,
     "op7_token_files": op7_token_files,
     "op8_html_text": op8_html_text,
     "op9_minhash": op9_minhash,
+    "op10_suffix_sort": op10_suffix_sort,
 }
 
 ORACLE_SQL: dict[str, str] = {}
