@@ -10,10 +10,11 @@ missed if no half of one side agrees, at most 2 * (1 - 0.8 ** ROWS) ** HALVES
 
 Texts with equal sets are one node. Within a bucket no two nodes need all be
 compared: a few leaders are compared with the bucket's nodes of other
-components, links join components, and a bucket is done when it is one
-component or each of its nodes outside the largest one has led. So groups of
-near copies cost about as many comparisons as they have members, no bucket is
-capped, and every comparison is exact.
+components whose set size allows a link, links join components, and a bucket
+is done when it is one component or each of its nodes outside the largest one
+has led; four times as many lead from round to round. So groups of near copies
+cost about as many comparisons as they have members, no bucket is capped, and
+every comparison is exact.
 
 Rows: null and empty texts and texts without words have an empty set and stay
 alone; a single word is its own shingle; rows with a null doc_id keep a null
@@ -169,13 +170,13 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _buckets(nodes: DataFrame, halves: int) -> DataFrame:
-    """(key, node) of all tables' buckets with two nodes or more."""
-    flat = nodes.select("node", F.posexplode("halves").alias("at", "half"))
+    """(key, node, size) of all tables' buckets with two nodes or more."""
+    flat = nodes.select("node", "size", F.posexplode("halves").alias("at", "half"))
     often = staged(flat.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half"), "halves")
     met = flat.join(often, "half")
-    sides = met.groupBy("node").agg(*(F.collect_set(F.when(c, F.col("half"))).alias(x) for x, c in (("a", F.col("at") < halves), ("b", F.col("at") >= halves))))  # at most `halves` each
-    pairs = sides.select("node", F.explode("a").alias("p"), "b").select("node", "p", F.explode("b").alias("q"))
-    keyed = staged(pairs.select(F.xxhash64("p", "q").alias("key"), "node"), "keys")
+    sides = met.groupBy("node", "size").agg(*(F.collect_set(F.when(c, F.col("half"))).alias(x) for x, c in (("a", F.col("at") < halves), ("b", F.col("at") >= halves))))  # at most `halves` each
+    pairs = sides.select("node", "size", F.explode("a").alias("p"), "b").select("node", "size", "p", F.explode("b").alias("q"))
+    keyed = staged(pairs.select(F.xxhash64("p", "q").alias("key"), "node", "size"), "keys")
     often = staged(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "tables")
     return staged(keyed.join(often, "key"), "buckets")
 
@@ -183,42 +184,48 @@ def _buckets(nodes: DataFrame, halves: int) -> DataFrame:
 def links(docs: DataFrame, nodes: DataFrame, k: int, percent: int, hashes: Hashes) -> DataFrame:
     """(node, root): the component of every node that is linked with another.
 
-    ``nodes`` (node, doc_id, halves) has a row per distinct set.
+    ``nodes`` (node, doc_id, size, halves) has a row per distinct set.
     """
     spark = docs.sparkSession
     bucket = _buckets(nodes, hashes.halves)
     suspects = bucket.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
     sets = staged(node_sets(docs, staged(suspects, "suspects"), k), "sets")
-    size = bucket.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     first = bucket.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.pmod("key", F.lit(3))).alias("o"), F.col("node"))).alias("lead"))
     first = staged(first.select("key", F.col("lead.node").alias("u")), "lead")
-    pairs = staged(bucket.join(first, "key").where("u <> node").select("u", F.col("node").alias("v")).distinct(), "pairs")
+    led = bucket.join(first, "key").where("u <> node").select("u", F.col("node").alias("v")).distinct()
+    pairs = staged(led, "pairs")
     tested = staged(confirm(pairs, sets, percent), "tested")
-    bucket = bucket.join(first, "key").where("u <> node").select("key", "node")
+    bucket, leaders = bucket.join(first, "key").where("u <> node").select("key", "node", "size"), LEADERS
     edges = tested.where("linked").select("u", "v")
+    comp = staged(components(edges), "components")
     while True:
-        comp = staged(components(edges), "components")
-        marked = staged(bucket.join(comp, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "marked")
+        marked = staged(bucket.join(comp, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root")), "marked")
         held = marked.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
-        size = held.groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-        size = staged(size.select("key", "n", F.col("most.root").alias("main")), "open")
+        open_ = held.groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+        size = staged(open_.select("key", "n", F.col("most.root").alias("main"), (F.col("n") - F.col("most.m")).alias("outside")), "open")
         if size.isEmpty():
             return comp
         bucket = marked.join(size, "key")
-        # who leads next: every node outside the main component in a small bucket, else a few, by hash order
-        slot = F.pmod(F.xxhash64("node", "key"), F.greatest(F.lit(1), (F.col("n") / LEADERS).cast("long")))
-        lead = bucket.where("root <> main").withColumn("slot", slot)
-        low = staged(lead.groupBy("key").agg(F.min("slot").alias("turn")), "turn")
-        lead = lead.join(low, "key").where((F.col("n") <= SMALL) | (F.col("slot") == F.col("turn"))).select("key", F.col("node").alias("u"), F.col("root").alias("root_u"))
-        lead = staged(lead, "lead")
-        pairs = bucket.join(lead, "key").where("root <> root_u").select("u", F.col("node").alias("v")).distinct()
-        pairs = pairs.where(F.col("u") != F.col("v")).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "u", "v").groupBy("a", "b").agg(F.min("u").alias("u"), F.max("v").alias("v")).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        done = tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        pairs = staged(pairs.join(done, ["u", "v"], "left_anti"), "pairs")
+        # who leads next: every node outside the main component in a small bucket, else a share of them, by hash order
+        share = F.greatest(F.lit(1.0), F.col("outside") / leaders)
+        lead = bucket.where("root <> main").where((F.col("n") <= SMALL) | (F.pmod(F.xxhash64("node", "key", F.lit(leaders)), F.lit(1 << 20)) * share <= F.lit(1 << 20)))
+        lead = staged(lead.select("key", F.col("node").alias("u"), F.col("root").alias("root_u"), F.col("size").alias("size_u")), "lead")
+        leaders *= 4
+        fits = 100 * F.least("size", "size_u") >= percent * F.greatest("size", "size_u")
+        pairs = bucket.join(lead, "key").where("root <> root_u").where(fits).select("u", F.col("node").alias("v")).distinct()
+        both = (F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+        pairs = pairs.groupBy(*both).agg(F.min("u").alias("u")).withColumn("v", F.when(F.col("u") == F.col("a"), F.col("b")).otherwise(F.col("a")))
+        pairs = staged(pairs.join(tested.select(*both).distinct(), ["a", "b"], "left_anti").select("u", "v"), "pairs")
         more = staged(confirm(pairs, sets, percent), "tested")
         tested = tested.unionByName(more)
-        edges = comp.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more.where("linked").select("u", "v"))
-        bucket = staged(bucket.select("key", "node").join(lead.select("key", F.col("u").alias("node")), ["key", "node"], "left_anti"), "buckets")
+        joined = more.where("linked").select("u", "v")
+        for c in ("u", "v"):  # links between components, by their roots
+            joined = joined.join(comp.select(F.col("node").alias(c), "root"), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
+        up = staged(components(joined), "roots").withColumnRenamed("root", "top")
+        old = comp.join(up.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        new = up.join(comp.select("node"), "node", "left_anti").select("node", F.col("top").alias("root"))
+        comp = staged(old.unionByName(new), "components")
+        bucket = staged(bucket.select("key", "node", "size").join(lead.select("key", F.col("u").alias("node")), ["key", "node"], "left_anti"), "buckets")
 
 
 def near_duplicates(docs: DataFrame, k: int, percent: int = 80, halves: int = HALVES, rows: int = ROWS) -> DataFrame:
@@ -227,7 +234,7 @@ def near_duplicates(docs: DataFrame, k: int, percent: int = 80, halves: int = HA
     hashes = Hashes(halves, rows)
     sketch = staged(sketches(docs, k, hashes), "sketches")
     usable = sketch.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
-    nodes = staged(usable.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("halves").alias("halves")), "nodes")
+    nodes = staged(usable.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("size"), F.min("halves").alias("halves")), "nodes")
     comp = links(docs, nodes, k, percent, hashes)
     label = nodes.join(comp, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     label = staged(label, "labels")
