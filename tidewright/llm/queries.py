@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidewright.llm.decontaminate import op5_decontaminate
 from tidewright.llm.html_text import op8_html_text
 from tidewright.llm.near_dup import op9_minhash
 from tidewright.llm.packing import op2_packing
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_suffix_trees": op3_suffix_trees,
     "op4_quality": op4_quality,
+    "op5_decontaminate": op5_decontaminate,
     "op6_warc": op6_warc,
     "op7_token_files": op7_token_files,
     "op8_html_text": op8_html_text,
