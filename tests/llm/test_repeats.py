@@ -88,6 +88,7 @@ def test_bytes_match_brute_force(spark, sf):
 @pytest.mark.parametrize("group", [repeats.GROUP, 3])
 def test_patched_texts(spark, monkeypatch, group):
     monkeypatch.setattr(repeats, "GROUP", group)
+    monkeypatch.setattr(repeats, "HOT", group)
     monkeypatch.setattr(repeats, "SLICE", 3000)
     rng = random.Random(group)
     vocabulary = [f"w{i}" for i in range(40)]
@@ -124,8 +125,9 @@ def test_mergesort_orders_suffixes():
         rows = rng.integers(1, 3, (n, 12)).astype(np.uint64)
         rows[np.arange(12) >= size[:, None]] = 0
         hashes = suffix_sort.prefix_hashes(rows)
-        order = suffix_sort.mergesort(rows, size, hashes)
-        want = sorted(range(n), key=lambda i: (rows[i, : size[i]].tolist(), i))
+        core = rng.integers(0, max(1, n // 7), n)
+        order = suffix_sort.mergesort(rows, size, hashes, core)
+        want = sorted(range(n), key=lambda i: (core[i], rows[i, : size[i]].tolist(), i))
         assert order.tolist() == want
 
 

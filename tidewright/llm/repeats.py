@@ -13,13 +13,15 @@ shared folder, and only codes, requests and answers move.
    are dropped; an anchor with one context is answered at once with its
    smallest doc_id; of the others each class's first head is asked for its
    context.
-3. *Cores.* A context serves the stretches that reach l units left of the
-   anchor, for each l of a range; all of these contain a common core. Contexts
-   are grouped by (range, core code); where a group is larger than ``GROUP``,
-   the range is halved, which lengthens the core, down to single stretches,
-   whose smallest doc_id is a plain minimum, summed before the shuffle.
-4. *Resolving.* Each group is sorted as suffixes, by the operator's own method,
-   and yields, per class and l, the smallest doc_id of an equal stretch.
+3. *Resolving.* An anchor's contexts are sorted as suffixes, by the operator's
+   own method, and yield, for each class and each number l of units that a
+   stretch reaches left of the anchor, the smallest doc_id of an equal stretch.
+4. *Cores.* Anchors with more than ``HOT`` contexts are split. All stretches
+   for which l lies in a range hold a common core; contexts are grouped by
+   (range, core code), and where a group is larger than ``GROUP`` the range is
+   halved, which lengthens the core, down to single stretches, whose smallest
+   doc_id is a plain minimum, summed before the shuffle. Each group is resolved
+   as above.
 5. *Answers* meet the slices again, where whole texts are rewritten.
 
 Codes are 64-bit; contexts that meet in a group are compared unit by unit.
@@ -39,6 +41,7 @@ from tidewright.llm.textunits import anchors, mix, mix_int, rolling, slices, wor
 
 SLICE = 2 << 20
 GROUP = 4000
+HOT = 16_384
 U = np.uint64
 _EDGE = U(0x5851F42D4C957F2D)
 _BYTE = mix(np.arange(256, dtype=np.uint64))
@@ -183,7 +186,11 @@ def per_slice(index: DataFrame, notes: DataFrame | None, work, schema: str) -> D
 
 
 def heads(index: DataFrame, kind: Kind, buckets: int) -> DataFrame:
-    """bucket, slice, payload: a slice's class heads by bucket of their anchor code."""
+    """bucket, slice, payload: a slice's class heads by bucket of their anchor code.
+
+    A head names its class by its place in the slice; the class's other places
+    travel once, under a bucket number past the last.
+    """
 
     def work(slice_, data, off, ids, null, _):
         import pyarrow as pa
@@ -194,19 +201,26 @@ def heads(index: DataFrame, kind: Kind, buckets: int) -> DataFrame:
             return
         doc = ids[occ.row[occ.order]]
         low, high = np.minimum.reduceat(doc, occ.starts), np.maximum.reduceat(doc, occ.starts)
-        key, ctx = occ.key[occ.order][occ.starts], occ.context[occ.order][occ.starts]
+        head = occ.order[occ.starts]
+        key, ctx, place = occ.key[head], occ.context[head], occ.at[head]
         bucket = (mix(key) % U(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        rows = []
         table, which = np.unique(low, return_inverse=True)
+        wide, rows = 3 + (len(code) >= 1 << 24), []
         for b in np.flatnonzero(np.diff(cuts)).tolist():
             at = order[cuts[b]: cuts[b + 1]]
             used, doc_at = np.unique(which[at], return_inverse=True)
-            wide, bits = 3 + (occ.n >= 1 << 24), 15 if len(used) < 1 << 15 else 31
+            bits = 15 if len(used) < 1 << 15 else 31
+            flagged = (doc_at | (high[at] > low[at]).astype(np.int64) << bits).astype(np.uint64)
             parts = [np.array([len(at), len(used), wide], "<u4").tobytes(), table[used].astype("<i8").tobytes()]
-            parts += [_low_bytes(key[at], 5), _low_bytes(ctx[at], 5), _low_bytes(at.astype(np.uint64), wide), _low_bytes((doc_at | (high[at] > low[at]).astype(np.int64) << bits).astype(np.uint64), (bits + 1) // 8)]
+            parts += [_low_bytes(key[at], 5), _low_bytes(ctx[at], 5), _low_bytes(place[at].astype(np.uint64), wide), _low_bytes(flagged, (bits + 1) // 8)]
             rows.append((b, slice_, b"".join(parts)))
+        other = np.ones(len(occ.order), bool)
+        other[occ.starts] = False
+        if other.any():
+            pairs = np.stack([place[occ.cls[occ.order[other]]], occ.at[occ.order[other]]]).astype("<u4")
+            rows.append((buckets + slice_ % buckets, slice_, pairs.tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "slice", "payload"])
 
     return per_slice(index, None, work, "bucket int, slice long, payload binary")
@@ -223,35 +237,41 @@ def _from_low(raw, at: int, count: int, n: int) -> np.ndarray:
 
 
 def parse_heads(raw):
-    """(key, context, cls, smallest doc_id, several documents) arrays of a payload."""
+    """(key, context, place, smallest doc_id, several documents) arrays of a payload."""
     n, m, wide = np.frombuffer(raw, "<u4", 3).tolist()
     table = np.frombuffer(raw, "<i8", m, 12)
     bits, at, out = 15 if m < 1 << 15 else 31, 12 + 8 * m, []
     for size in (5, 5, wide, (bits + 1) // 8):
         out.append(_from_low(raw, at, n, size))
         at += size * n
-    key, ctx, cls, doc = out
+    key, ctx, place, doc = out
     doc = doc.astype(np.int64)
-    return key, ctx, cls.astype(np.int64), table[doc & ((1 << bits) - 1)], doc >> bits == 1
+    return key, ctx, place.astype(np.int64), table[doc & ((1 << bits) - 1)], doc >> bits == 1
 
 
-MEET = "kind int, slice long, payload binary, key long, context long, cls long, low long"
+ANSWER, ASKED, OPEN, HOT_LEAD, HOT_OTHER, PLACES = range(6)
+MEET = "kind int, bucket int, slice long, payload binary, key long, context long, place long, low long"
+_ASK = np.dtype([("key", "<u8"), ("context", "<u8"), ("place", "<u4"), ("low", "<i8")])
+_OPEN = np.dtype([("key", "<u8"), ("context", "<u8"), ("slice", "<i8"), ("place", "<u4"), ("low", "<i8"), ("alone", "u1")])
 
 
 def meet(sent: DataFrame, buckets: int) -> DataFrame:
     """Settle each bucket's anchors.
 
-    Rows of kind 0 are answers (slice, payload); rows of kind 1 (asks its
-    context) and 2 (does not) are the heads of anchors with several contexts,
-    ``low`` being the class's smallest doc_id over all slices.
+    Kinds of rows: ANSWER (slice, payload); ASKED (bucket, slice, payload: the
+    heads whose context is wanted); OPEN (bucket, payload: all heads that wait
+    for it); HOT_LEAD and HOT_OTHER, a row per such head of an anchor with more
+    than HOT contexts; PLACES (slice, payload). ``low`` is a class's smallest
+    doc_id over all slices.
     """
+    hot = HOT
 
-    def settle(bucket_rows):
+    def settle(rows):
         slice_of, parts = [], []
-        for s, raw in bucket_rows:
+        for s, raw in rows:
             parts.append(parse_heads(raw))
             slice_of.append(np.full(len(parts[-1][0]), s))
-        key, ctx, cls, doc, several = (np.concatenate(x) for x in zip(*parts))
+        key, ctx, place, doc, several = (np.concatenate(x) for x in zip(*parts))
         sl = np.concatenate(slice_of)
         order = np.argsort(key, kind="stable")
         k = key[order]
@@ -261,56 +281,71 @@ def meet(sent: DataFrame, buckets: int) -> DataFrame:
         lo, hi = np.minimum.reduceat(doc[order], st), np.maximum.reduceat(doc[order], st)
         shared = (lo < hi) | (np.maximum.reduceat(several[order].astype(np.int8), st) > 0)
         order = order[shared[np.cumsum(new) - 1]]
-        if not len(order):
-            return None, None
         order = order[np.lexsort((doc[order], ctx[order], key[order]))]
-        k, c, d = key[order], ctx[order], doc[order]
+        k, c, d, more = key[order], ctx[order], doc[order], several[order]
         new_key = np.ones(len(k), bool)
         new_key[1:] = k[1:] != k[:-1]
         new_cls = new_key.copy()
         new_cls[1:] |= c[1:] != c[:-1]
-        at_cls = np.cumsum(new_cls) - 1
-        low = d[np.flatnonzero(new_cls)][at_cls]  # sorted by doc_id within a class
-        at_key = np.cumsum(new_key) - 1
-        many = np.bincount(at_key, weights=new_cls)[at_key] > 1
-        done = ~many & ((d > low) | several[order])
-        answer = (sl[order][done], cls[order][done], low[done])
-        m = many
-        return answer, (new_cls[m], sl[order][m], k[m], c[m], cls[order][m], low[m])
+        low = d[np.flatnonzero(new_cls)][np.cumsum(new_cls) - 1] if len(d) else d  # sorted by doc_id within a class
+        classes = np.bincount(np.cumsum(new_key) - 1, weights=new_cls)[np.cumsum(new_key) - 1] if len(d) else d
+        return sl[order], place[order], k, c, low, (d == low) & ~more, new_cls, classes
 
     def run(batches):
         import pyarrow as pa
 
         names = [x.split()[0] for x in MEET.split(", ")]
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+
+        def table(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
-        def emit(rows):
-            answer, open_ = settle(rows)
-            if answer is None:
-                return
-            s, c, low = answer
-            order = np.argsort(s, kind="stable")
-            s, c, low = s[order], c[order], low[order]
-            for a, b in _runs(s):
-                payload = _pack_answers(c[a:b], np.zeros(b - a, np.int64), np.full(b - a, 255), low[a:b])
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([int(s[a])], pa.int64()), pa.array([payload], pa.binary()), *(pa.nulls(1, pa.int64()) for _ in range(4))], names=names)
-            lead, s, k, c, cls, low = open_
-            if len(s):
-                yield pa.RecordBatch.from_arrays([pa.array(np.where(lead, 1, 2), pa.int32()), pa.array(s), pa.nulls(len(s), pa.binary()), pa.array(k.view("<i8")), pa.array(c.view("<i8")), pa.array(cls), pa.array(low)], names=names)
+        def emit(bucket, rows):
+            sl, place, k, c, low, alone, lead, classes = settle(rows)
+            out = []
+
+            def by_slice(kind, which, pack):
+                order = which[np.argsort(sl[which], kind="stable")]
+                for a, b in _runs(sl[order]):
+                    at = order[a:b]
+                    out.append((kind, bucket, int(sl[at[0]]), pack(at), None, None, None, None))
+
+            by_slice(ANSWER, np.flatnonzero((classes == 1) & ~alone), lambda at: _pack_answers(place[at], 0, 255, low[at]))
+            by_slice(ASKED, np.flatnonzero((classes > 1) & (classes <= hot) & lead), lambda at: _packed(_ASK, key=k[at], context=c[at], place=place[at], low=low[at]))
+            open_ = np.flatnonzero((classes > 1) & (classes <= hot))
+            if len(open_):
+                out.append((OPEN, bucket, None, _packed(_OPEN, key=k[open_], context=c[open_], slice=sl[open_], place=place[open_], low=low[open_], alone=alone[open_]), None, None, None, None))
+            if out:
+                yield table(out)
+            at = np.flatnonzero(classes > hot)
+            if len(at):
+                cols = [np.where(lead[at], HOT_LEAD, HOT_OTHER), np.full(len(at), bucket), sl[at], [None] * len(at), k[at].view(np.int64), c[at].view(np.int64), place[at], low[at]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds)], names=names)
 
         now, rows = None, []
         for b in batches:
             for bucket, s, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                if bucket >= buckets:
+                    yield table([(PLACES, bucket, s, raw.as_py(), None, None, None, None)])
+                    continue
                 if bucket != now and rows:
-                    yield from emit(rows)
+                    yield from emit(now, rows)
                     rows = []
                 now = bucket
                 rows.append((s, raw.as_buffer()))
         if rows:
-            yield from emit(rows)
+            yield from emit(now, rows)
 
     return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "slice").mapInArrow(run, MEET)
 
 
+def _packed(kind: np.dtype, **columns) -> bytes:
+    out = np.empty(len(next(iter(columns.values()))), kind)
+    for name, x in columns.items():
+        out[name] = x
+    return out.tobytes()
+
+
 def _runs(x: np.ndarray):
     """(start, end) of runs of equal entries."""
     if not len(x):
@@ -319,22 +354,127 @@ def _runs(x: np.ndarray):
     return list(zip([0, *cut.tolist()], [*cut.tolist(), len(x)]))
 
 
-_ANSWER = np.dtype([("cls", "<u4"), ("lo", "u1"), ("hi", "u1"), ("owner", "<i8")])
+_ANSWER = np.dtype([("place", "<u4"), ("lo", "u1"), ("hi", "u1"), ("owner", "<i8")])
 
 
-def _pack_answers(cls, lo, hi, owner) -> bytes:
-    out = np.empty(len(cls), _ANSWER)
-    out["cls"], out["lo"], out["hi"], out["owner"] = cls, lo, hi, owner
-    return out.tobytes()
+def _pack_answers(place, lo, hi, owner) -> bytes:
+    return _packed(_ANSWER, place=place, lo=lo, hi=hi, owner=owner)
 
 
-ASK = np.dtype([("cls", "<u4"), ("key", "<u8"), ("context", "<u8"), ("low", "<i8")])
 CORE = "lo int, hi int, core long, key long, context long, low long, left int, right int, units binary"
+_CORE = [x.split()[0] for x in CORE.split(", ")]
+
+
+def _cut_contexts(kind: Kind, data, off, place):
+    """(left, right, units, lengths): contexts of the anchors at ``place``, their units as bytes in a row."""
+    code, first, _, _ = kind.units(data, off)
+    row = np.searchsorted(first, place, side="right") - 1
+    left = np.minimum(kind.reach, place - first[row])
+    right = np.minimum(kind.reach, first[row + 1] - place - kind.gram)
+    size = left + kind.gram + right
+    base = np.cumsum(size) - size
+    at = np.arange(int(size.sum())) + np.repeat(place - left - base, size)
+    return left, right, data[at] if kind.name == "byte" else code[at], size
+
+
+def context_blobs(index: DataFrame, asked: DataFrame, kind: Kind) -> DataFrame:
+    """bucket, slice, payload: contexts of the asked heads, compressed."""
+    notes = asked.select("slice", F.concat(F.encode(F.lpad(F.col("bucket").cast("string"), 12, "0"), "US-ASCII"), "payload").alias("payload"))
+
+    def work(slice_, data, off, ids, null, payloads):
+        import pyarrow as pa
+        import zstandard
+
+        if not payloads:
+            return
+        asks = [np.frombuffer(p, _ASK, offset=12) for p in payloads]
+        ask = np.concatenate(asks)
+        left, right, units, size = _cut_contexts(kind, data, off, ask["place"].astype(np.int64))
+        upto = np.concatenate([[0], np.cumsum(size)])
+        rows, at, pack = [], 0, zstandard.ZstdCompressor(level=1)
+        for p, a in zip(payloads, asks):
+            z = at + len(a)
+            head = np.array([len(a)], "<u4").tobytes() + a.tobytes() + left[at:z].astype(np.uint8).tobytes() + right[at:z].astype(np.uint8).tobytes()
+            rows.append((int(p[:12]), slice_, pack.compress(head + units[upto[at]: upto[z]].tobytes())))
+            at = z
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "slice", "payload"])
+
+    return per_slice(index, notes, work, "bucket int, slice long, payload binary")
+
+
+def _read_contexts(kind: Kind, raw: bytes):
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    ask = np.frombuffer(raw, _ASK, n, 4)
+    at = 4 + n * _ASK.itemsize
+    left, right = np.frombuffer(raw, np.uint8, n, at), np.frombuffer(raw, np.uint8, n, at + n)
+    return ask, left.astype(np.int64), right.astype(np.int64), unit_codes(kind, memoryview(raw)[at + 2 * n:])
+
+
+def resolve_buckets(met: DataFrame, blobs: DataFrame, kind: Kind, buckets: int, solve) -> DataFrame:
+    """slice, payload: the answers for all OPEN heads, a bucket at a time."""
+    rows = met.where(F.col("kind") == OPEN).select("bucket", F.lit(0).alias("kind"), "payload").unionByName(blobs.select("bucket", F.lit(1).alias("kind"), "payload"))
+
+    def run(batches):
+        import pyarrow as pa
+        import zstandard
+
+        from tidewright.llm.suffixes import Chunk
+
+        unpack = zstandard.ZstdDecompressor()
+
+        def emit(open_, parts):
+            ask, left, right, codes = (np.concatenate(x) for x in zip(*parts))
+            at, lo, hi, owner = solve(Chunk(kind, 0, kind.reach, ask["key"].astype(np.int64), ask["low"].astype(np.int64), left, right, codes))
+            order = np.lexsort((ask["context"], ask["key"]))
+            rank = np.empty(len(ask), np.int64)
+            rank[order] = np.arange(len(ask))
+            cls = _match(ask["key"][order], ask["context"][order], open_["key"], open_["context"])
+            by = np.argsort(cls, kind="stable")  # heads by class
+            cut = np.searchsorted(cls[by], np.arange(len(ask) + 1))
+            n = np.diff(cut)[rank[at]]
+            which = np.repeat(np.arange(len(at)), n)
+            head = by[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + cut[rank[at]][which]]
+            whole = np.flatnonzero(open_["alone"] == 0)
+            sl = np.concatenate([open_["slice"][head], open_["slice"][whole]])
+            place = np.concatenate([open_["place"][head], open_["place"][whole]])
+            a = np.concatenate([lo[which], np.zeros(len(whole), np.int64)])
+            z = np.concatenate([hi[which], np.full(len(whole), 255)])
+            o = np.concatenate([owner[which], open_["low"][whole]])
+            order = np.argsort(sl, kind="stable")
+            rows = [(int(sl[order[i]]), _pack_answers(*(x[order[i:j]] for x in (place, a, z, o)))) for i, j in _runs(sl[order])]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary()))], names=["slice", "payload"])
+
+        now, open_, parts = None, None, []
+        for b in batches:
+            for bucket, k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                if bucket != now:
+                    if parts:
+                        yield from emit(open_, parts)
+                    now, parts = bucket, []
+                if k == 0:
+                    open_ = np.frombuffer(raw.as_py(), _OPEN)
+                else:
+                    parts.append(_read_contexts(kind, unpack.decompress(raw.as_buffer())))
+        if parts:
+            yield from emit(open_, parts)
+
+    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, "slice long, payload binary")
+
+
+def _match(keys, contexts_, key, context) -> np.ndarray:
+    """Places of (key, context) pairs in sorted, distinct (keys, contexts_) pairs that hold them all."""
+    both = np.concatenate([keys, key]), np.concatenate([contexts_, context])
+    order = np.lexsort((np.arange(len(both[0])), both[1], both[0]))  # the sorted pair comes before its equals
+    lead = order < len(keys)
+    out = np.empty(len(order), np.int64)
+    out[order] = order[np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))]
+    return out[len(keys):]
 
 
 def contexts(index: DataFrame, asked: DataFrame, kind: Kind) -> DataFrame:
-    """A row per asked class with its context's units (CORE; lo..hi is the whole range of l, still without a core)."""
-    bytes_ = asked.select("slice", F.struct("cls", "key", "context", "low").alias("x")).groupBy("slice").agg(F.collect_list("x").alias("x"))  # at most a slice's classes
+    """A row per asked head of a hot anchor (CORE; lo..hi is the whole range of l, still without a core)."""
+    listed = asked.select("slice", F.struct("place", "key", "context", "low").alias("x")).groupBy("slice").agg(F.collect_list("x").alias("x"))  # at most a slice's classes
 
     def pack(batches):
         import pyarrow as pa
@@ -342,35 +482,24 @@ def contexts(index: DataFrame, asked: DataFrame, kind: Kind) -> DataFrame:
         for b in batches:
             payloads = []
             for xs in b.column(1):
-                v = xs.values
-                out = np.empty(len(v), ASK)
-                for n in ("cls", "key", "context", "low"):
-                    out[n] = np.asarray(v.field(n)).astype(np.int64).view(np.uint64) if n in ("key", "context") else np.asarray(v.field(n))
-                payloads.append(out.tobytes())
+                v = {n: np.asarray(xs.values.field(n)).astype(np.int64) for n in ("place", "key", "context", "low")}
+                payloads.append(_packed(_ASK, key=v["key"].view(np.uint64), context=v["context"].view(np.uint64), place=v["place"], low=v["low"]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(payloads, pa.binary())], names=["slice", "payload"])
 
-    notes = bytes_.mapInArrow(pack, "slice long, payload binary")
-
     def work(slice_, data, off, ids, null, payloads):
         import pyarrow as pa
 
         if not payloads:
             return
-        ask = np.concatenate([np.frombuffer(p, ASK) for p in payloads])
-        code, first, _, _ = kind.units(data, off)
-        occ = Occurrences(kind, code, first, null)
-        low_rows = occ.order[occ.starts][ask["cls"].astype(np.int64)]  # any occurrence stands for its class
-        at, left, right = occ.at[low_rows], occ.left[low_rows], occ.right[low_rows]
-        if kind.name == "byte":
-            raw = data.tobytes()
-            units = [raw[a - x: a + kind.gram + y] for a, x, y in zip(at.tolist(), left.tolist(), right.tolist())]
-        else:
-            units = [code[a - x: a + kind.gram + y].astype("<u8").tobytes() for a, x, y in zip(at.tolist(), left.tolist(), right.tolist())]
-        i64 = lambda x: pa.array(x.astype(np.uint64).view(np.int64))
+        ask = np.concatenate([np.frombuffer(p, _ASK) for p in payloads])
+        left, right, units, size = _cut_contexts(kind, data, off, ask["place"].astype(np.int64))
+        upto = np.concatenate([[0], np.cumsum(size)]).tolist()
+        blobs = [units[a:b].tobytes() for a, b in zip(upto, upto[1:])]
         n = len(ask)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, kind.reach, np.int32)), pa.array(np.zeros(n, np.int64)), i64(ask["key"]), i64(ask["context"]), pa.array(ask["low"].astype(np.int64)), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), pa.array(units, pa.binary())], names=[x.split()[0] for x in CORE.split(", ")])
+        i64 = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, kind.reach, np.int32)), pa.array(np.zeros(n, np.int64)), i64(ask["key"]), i64(ask["context"]), i64(ask["low"]), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), pa.array(blobs, pa.binary())], names=_CORE)
 
-    return per_slice(index, notes, work, CORE)
+    return per_slice(index, listed.mapInArrow(pack, "slice long, payload binary"), work, CORE)
 
 
 def unit_codes(kind: Kind, units) -> np.ndarray:
@@ -405,7 +534,7 @@ def halved(rows: DataFrame, kind: Kind, deep: bool) -> DataFrame:
                     out.append((a, z, _fold(part), key, ctx, low, left, right, units))
             if out:
                 kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=[x.split()[0] for x in CORE.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=_CORE)
 
     return rows.mapInArrow(run, CORE)
 
@@ -427,8 +556,7 @@ RESULT = "key long, context long, lo int, hi int, owner long"
 def resolve(cores: DataFrame, kind: Kind, solve) -> DataFrame:
     """Per class and run of l: the smallest doc_id of an equal stretch in another class, where it is below the class's own (RESULT).
 
-    ``solve(kind, lo, hi, rows)`` handles whole groups of one range in memory;
-    rows are (core, key, context, low, left, right, units), a group's together.
+    ``solve(chunk)`` handles whole groups of one range in memory.
     """
     spark = cores.sparkSession
     found = None
@@ -437,10 +565,16 @@ def resolve(cores: DataFrame, kind: Kind, solve) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        from tidewright.llm.suffixes import Chunk
+
         def emit(groups):
-            out = solve(kind, groups[0][0], groups[0][1], [g[2:] for g in groups])
-            if len(out[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))], names=["key", "context", "lo", "hi", "owner"])
+            lo, hi, core, key, context, low, left, right, units = zip(*groups)
+            i64 = lambda x: np.array(x, np.int64)
+            codes = np.concatenate([unit_codes(kind, u) for u in units])
+            at, a, z, owner = solve(Chunk(kind, lo[0], hi[0], i64(core), i64(low), i64(left), i64(right), codes))
+            if len(at):
+                cols = (i64(key)[at], i64(context)[at], a.astype(np.int32), z.astype(np.int32), owner)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "context", "lo", "hi", "owner"])
 
         now, held = None, []
         for b in batches:
@@ -458,7 +592,7 @@ def resolve(cores: DataFrame, kind: Kind, solve) -> DataFrame:
         sizes = rows.groupBy("lo", "hi", "core").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         sizes = staged(sizes, "sizes")
         small = rows.join(sizes.where(F.col("n") <= GROUP).select("lo", "hi", "core"), ["lo", "hi", "core"], "left_semi")
-        part = small.select(*[x.split()[0] for x in CORE.split(", ")]).repartition(partitions(spark), "lo", "hi", "core").sortWithinPartitions("lo", "hi", "core", "low").mapInArrow(run, RESULT)
+        part = small.select(*_CORE).repartition(partitions(spark), "lo", "hi", "core").sortWithinPartitions("lo", "hi", "core", "low").mapInArrow(run, RESULT)
         found = part if found is None else found.unionByName(part)
         large = sizes.where(F.col("n") > GROUP).select("lo", "hi", "core")
         if large.isEmpty():
@@ -468,51 +602,57 @@ def resolve(cores: DataFrame, kind: Kind, solve) -> DataFrame:
         least = staged(single.groupBy("lo", "hi", "core").agg(F.min("low").alias("owner")), "least")
         same = single.join(least, ["lo", "hi", "core"]).where("owner < low").select("key", "context", "lo", "hi", "owner")
         found = found.unionByName(same)
-        rows = staged(halved(big.where("lo < hi").select(*[x.split()[0] for x in CORE.split(", ")]), kind, True), "cores")
+        rows = staged(halved(big.where("lo < hi").select(*_CORE), kind, True), "cores")
 
 
-def stretch_answers(docs_index: DataFrame, kind: Kind, solve) -> DataFrame:
-    """slice, payload: what every slice needs to know (packed _ANSWER entries)."""
-    spark = docs_index.sparkSession
+def stretch_answers(index: DataFrame, kind: Kind, solve) -> DataFrame:
+    """slice, kind, payload: the answers (packed _ANSWER) and the places of a slice's classes."""
+    spark = index.sparkSession
     buckets = max(partitions(spark), 12)
-    met = staged(meet(heads(docs_index, kind, buckets), buckets), "met")
-    open_ = met.where("kind > 0")
-    asked = open_.where("kind = 1").select("slice", "cls", "key", "context", "low")
-    owners = resolve(staged(contexts(docs_index, asked, kind), "contexts"), kind, solve)
-    lower = open_.join(owners, ["key", "context"]).select("slice", "cls", F.col("lo").alias("a"), F.col("hi").alias("z"), "owner")
-    whole = open_.select("slice", "cls", F.lit(0).alias("a"), F.lit(255).alias("z"), F.col("low").alias("owner"))
-
-    def pack(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            s, c, a, z, o = (np.asarray(x) for x in b.columns)
-            order = np.argsort(s, kind="stable")
-            rows = [(int(s[order[i]]), _pack_answers(*(x[order[i:j]] for x in (c, a, z, o)))) for i, j in _runs(s[order])]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["slice", "payload"])
-
-    packed = lower.unionByName(whole).mapInArrow(pack, "slice long, payload binary")
-    return staged(met.where("kind = 0").select("slice", "payload").unionByName(packed), "answers")
-
-
-def covered_units(kind: Kind, code, first, ids, null, payloads) -> np.ndarray:
-    """Which units of a slice lie in a stretch that a smaller doc_id also has."""
-    cover = np.zeros(len(code) + 1, np.int64)
-    if payloads:
-        occ = Occurrences(kind, code, first, null)
-        ans = np.concatenate([np.frombuffer(p, _ANSWER) for p in payloads])
-        c = ans["cls"].astype(np.int64)
-        ends = np.append(occ.starts[1:], len(occ.order))
-        n = (ends - occ.starts)[c]
-        which = np.repeat(np.arange(len(c)), n)
-        base = np.cumsum(n) - n
-        member = occ.order[np.arange(int(n.sum())) - base[which] + occ.starts[c][which]]
-        lo = np.maximum(ans["lo"].astype(np.int64)[which], kind.reach - occ.right[member])
-        hi = np.minimum(ans["hi"].astype(np.int64)[which], occ.left[member])
-        ok = (ans["owner"][which] < ids[occ.row[member]]) & (lo <= hi)
-        at = occ.at[member][ok]
-        np.add.at(cover, at - hi[ok], 1)
-        np.add.at(cover, at - lo[ok] + kind.width, -1)
+    met = staged(meet(heads(index, kind, buckets), buckets), "met")
+    blobs = context_blobs(index, met.where(F.col("kind") == ASKED), kind)
+    answers = met.where(F.col("kind") == ANSWER).select("slice", "payload").unionByName(resolve_buckets(met, blobs, kind, buckets, solve))
+    hot = met.where(F.col("kind").isin(HOT_LEAD, HOT_OTHER)).select("kind", "slice", "place", "key", "context", "low")
+    if not hot.isEmpty():
+        owners = resolve(staged(contexts(index, hot.where(F.col("kind") == HOT_LEAD), kind), "contexts"), kind, solve)
+        lower = hot.join(owners, ["key", "context"]).select("slice", "place", F.col("lo").alias("a"), F.col("hi").alias("z"), "owner")
+        whole = hot.select("slice", "place", F.lit(0).alias("a"), F.lit(255).alias("z"), F.col("low").alias("owner"))
+
+        def pack(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                s, c, a, z, o = (np.asarray(x) for x in b.columns)
+                order = np.argsort(s, kind="stable")
+                rows = [(int(s[order[i]]), _pack_answers(*(x[order[i:j]] for x in (c, a, z, o)))) for i, j in _runs(s[order])]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["slice", "payload"])
+
+        answers = answers.unionByName(lower.unionByName(whole).mapInArrow(pack, "slice long, payload binary"))
+    places = met.where(F.col("kind") == PLACES).select("slice", F.concat(F.lit(b"P"), "payload").alias("payload"))
+    return answers.select("slice", F.concat(F.lit(b"A"), "payload").alias("payload")).unionByName(places)
+
+
+def covered_units(kind: Kind, n: int, first, ids, payloads) -> np.ndarray:
+    """Which of a slice's n units lie in a stretch that a smaller doc_id also has."""
+    cover = np.zeros(n + 1, np.int64)
+    answers = [np.frombuffer(p, _ANSWER, offset=1) for p in payloads if p[:1] == b"A"]
+    if answers:
+        ans = np.concatenate(answers)
+        pairs = [np.frombuffer(p, "<u4", offset=1).reshape(2, -1) for p in payloads if p[:1] == b"P"]
+        head, place = np.concatenate(pairs, axis=1).astype(np.int64) if pairs else np.zeros((2, 0), np.int64)
+        order = np.argsort(head, kind="stable")
+        head, place = head[order], place[order]
+        at = ans["place"].astype(np.int64)
+        a, b = np.searchsorted(head, at, "left"), np.searchsorted(head, at, "right")
+        which = np.repeat(np.arange(len(at)), b - a)
+        more = place[np.arange(len(which)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + a[which]]
+        which, at = np.concatenate([np.arange(len(at)), which]), np.concatenate([at, more])
+        row = np.searchsorted(first, at, side="right") - 1
+        lo = np.maximum(ans["lo"].astype(np.int64)[which], kind.reach - (first[row + 1] - at - kind.gram))
+        hi = np.minimum(np.minimum(ans["hi"].astype(np.int64)[which], kind.reach), at - first[row])
+        ok = (ans["owner"][which] < ids[row]) & (lo <= hi)
+        cover += np.bincount(at[ok] - hi[ok], minlength=n + 1) - np.bincount(at[ok] - lo[ok] + kind.width, minlength=n + 1)
     return np.cumsum(cover[:-1]) > 0
 
 
@@ -526,7 +666,7 @@ def rewrite(docs: DataFrame, kind: Kind, solve, finish, schema: str) -> DataFram
         import pyarrow as pa
 
         code, first, starts, ends = kind.units(data, off)
-        cover = covered_units(kind, code, first, ids, null, payloads)
+        cover = covered_units(kind, len(code), first, ids, payloads)
         columns = finish(data, off, first, starts, ends, cover)
         doc = pa.array(ids.astype(np.int64), mask=null)
         yield pa.RecordBatch.from_arrays([doc, *columns], names=[x.split()[0] for x in schema.split(", ")])

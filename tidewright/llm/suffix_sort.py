@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from tidewright.llm import repeats
 from tidewright.llm.common import documents
 from tidewright.llm.repeats import Kind
-from tidewright.llm.suffixes import Chunk, owners, prefix_hashes, true_extension
+from tidewright.llm.suffixes import Chunk, neighbours, owners, prefix_hashes, true_extension
 
 WIDTH = 50
-GRAM = 16
+GRAM = 24
 
 
 def common_extension(hashes: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -49,52 +49,71 @@ def less(suffix, size, hashes, i, j) -> np.ndarray:
     return np.where(end_i | end_j, end_i & ~end_j, a < b)
 
 
-def mergesort(suffix: np.ndarray, size: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """The rows in the order of their suffixes; equal ones keep their order."""
-    n = len(suffix)
-    perm = np.arange(n)
-    width = 1
-    while width < n:
-        place = np.arange(n)
+def merge_blocks(perm: np.ndarray, count: np.ndarray, block: int, suffix, size, hashes) -> np.ndarray:
+    """Bottom-up mergesort inside each block of ``block`` places, of which the first ``count`` hold rows.
+
+    At each width, an element's place in the merged run is its place in its own
+    run plus its rank in the partner run, by binary search, for all at once;
+    equal suffixes keep their order.
+    """
+    at = np.flatnonzero(np.arange(len(perm)) % block < np.repeat(count, block))
+    group, place, width = at // block, at % block, 1
+    while width < block:
         run = place // width
-        mate_lo = np.minimum((run ^ 1) * width, n)
-        mate_hi = np.minimum(mate_lo + width, n)
-        second = run & 1 == 1
-        lo, hi = mate_lo.copy(), mate_hi.copy()
+        mate = group * block + (run ^ 1) * width
+        lo, hi = mate.copy(), mate + np.clip(count[group] - (run ^ 1) * width, 0, width)
+        late = run & 1 == 1
         for _ in range(width.bit_length()):
             live = np.flatnonzero(lo < hi)
             if not len(live):
                 break
             mid = (lo[live] + hi[live]) // 2
-            mine, other, late = perm[live], perm[mid], second[live]
-            # the first run wins ties: its elements count partners below them, the second's those not above
-            before = less(suffix, size, hashes, np.where(late, mine, other), np.where(late, other, mine))
-            below = np.where(late, ~before, before)
+            mine, other, second = perm[at[live]], perm[mid], late[live]
+            before = less(suffix, size, hashes, np.where(second, mine, other), np.where(second, other, mine))
+            below = np.where(second, ~before, before)
             lo[live], hi[live] = np.where(below, mid + 1, lo[live]), np.where(below, hi[live], mid)
-        target = (run // 2) * 2 * width + (place - run * width) + (lo - mate_lo)
-        out = np.empty(n, np.int64)
-        out[target] = perm
+        target = group * block + (run // 2) * 2 * width + (place - run * width) + (lo - mate)
+        out = perm.copy()
+        out[target] = perm[at]
         perm = out
         width *= 2
     return perm
 
 
-def solve(kind: Kind, lo: int, hi: int, rows: list[tuple]) -> tuple:
-    chunk = Chunk(kind, lo, hi, rows)
+def mergesort(suffix: np.ndarray, size: np.ndarray, hashes: np.ndarray, core: np.ndarray) -> np.ndarray:
+    """The rows by group (``core``), each group in the order of its suffixes; groups of like size are sorted together."""
+    order = np.argsort(core, kind="stable")
+    c = core[order]
+    start = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
+    count = np.diff(np.append(start, len(c)))
+    level = np.ceil(np.log2(np.maximum(count, 1))).astype(np.int64)
+    for m in np.unique(level[level > 0]).tolist():
+        some = np.flatnonzero(level == m)
+        block, n = 1 << m, count[some]
+        inside = np.arange(block) < n[:, None]
+        where = (start[some][:, None] + np.arange(block))[inside]
+        perm = np.zeros(len(some) * block, np.int64)
+        perm[inside.reshape(-1)] = order[where]
+        order[where] = merge_blocks(perm, n, block, suffix, size, hashes)[inside.reshape(-1)]
+    return order
+
+
+def solve(chunk: Chunk) -> tuple:
     hashes = prefix_hashes(chunk.suffix)
-    order = mergesort(chunk.suffix, chunk.size, hashes)
+    order = mergesort(chunk.suffix, chunk.size, hashes, chunk.core)
     i, j = order[:-1], order[1:]
     shared = common_extension(hashes, chunk.size, i, j)
     true = true_extension(chunk.suffix[i], chunk.suffix[j], np.minimum(chunk.size[i], chunk.size[j]))
     if (shared != true).any():  # a hash lied: sort by the units themselves
-        order = np.lexsort((chunk.size, *(chunk.suffix[:, c] for c in reversed(range(kind.width)))))
+        order = np.lexsort((chunk.size, *(chunk.suffix[:, c] for c in reversed(range(chunk.suffix.shape[1]))), chunk.core))
         i, j = order[:-1], order[1:]
         true = true_extension(chunk.suffix[i], chunk.suffix[j], np.minimum(chunk.size[i], chunk.size[j]))
+    true = np.where(chunk.core[i] == chunk.core[j], true, 0)
 
     def blocks(need: int) -> np.ndarray:
         return np.concatenate([[0], np.cumsum(true < need)])
 
-    return owners(chunk, order, blocks)
+    return owners(chunk, order, neighbours(true), blocks)
 
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"

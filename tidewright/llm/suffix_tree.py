@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from tidewright.llm import repeats
 from tidewright.llm.common import documents
 from tidewright.llm.repeats import Kind
-from tidewright.llm.suffixes import Chunk, owners, true_extension
+from tidewright.llm.suffixes import Chunk, neighbours, owners, true_extension
 
 WINDOW = 50
 GRAM = 16
@@ -58,30 +58,32 @@ def sort_suffixes(suffix: np.ndarray, size: np.ndarray, core: np.ndarray) -> np.
     return np.lexsort(tuple(columns[:, c] for c in reversed(range(columns.shape[1]))))
 
 
-def solve(kind: Kind, lo: int, hi: int, rows: list[tuple]) -> tuple:
-    chunk = Chunk(kind, lo, hi, rows)
+def solve(chunk: Chunk) -> tuple:
     order = sort_suffixes(chunk.suffix, chunk.size, chunk.core)
     i, j = order[:-1], order[1:]
     lcp = true_extension(chunk.suffix[i], chunk.suffix[j], np.minimum(chunk.size[i], chunk.size[j]))
     same = chunk.core[i] == chunk.core[j]
-    lcp = np.where(same, lcp, 0).tolist()
-    cut = [0, *(np.flatnonzero(~same) + 1).tolist(), len(order)]
+    lcp = np.where(same, lcp, 0)
+    cut, listed = [0, *(np.flatnonzero(~same) + 1).tolist(), len(order)], lcp.tolist()
     nodes = []
     for a, b in zip(cut, cut[1:]):
         if b - a > 1:
-            nodes += subtree(lcp, a, b - a)
-    nodes.sort(key=lambda x: -x[0])  # deepest first, so that a shallower node overwrites those below it
+            nodes += subtree(listed, a, b - a)
+    depth, lo, hi = np.array(sorted(nodes, key=lambda x: -x[0]) or np.zeros((0, 3)), np.int64).reshape(-1, 3).T
     n = len(order)
 
     def blocks(need: int) -> np.ndarray:
-        leaf = np.arange(n) + n
-        for k, (depth, a, b) in enumerate(nodes):
-            if depth < need:
-                break
-            leaf[a:b] = -1 - k
-        return leaf
-
-    return owners(chunk, order, blocks)
+        """The highest node of enough depth above each leaf, by its first leaf; a leaf without one stands alone."""
+        deep = depth >= need
+        top = np.arange(n)
+        reach = np.zeros(n + 1, np.int64)
+        np.maximum.at(reach, lo[deep], hi[deep])
+        far = np.maximum.accumulate(reach[:n])  # nodes nest, so a leaf below one started earlier belongs to it
+        opens = (reach[:n] > 0) & (np.concatenate([[0], far[:-1]]) <= np.arange(n))
+        start = np.maximum.accumulate(np.where(opens, np.arange(n), 0))
+        return np.where(far > np.arange(n), start, top)
+
+    return owners(chunk, order, neighbours(lcp), blocks)
 
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
