@@ -36,7 +36,7 @@ U = np.uint64
 BLOCK = 20_000
 WALKS = 10
 TABLES = 4
-SAMPLES = 4
+SAMPLES = 8
 VOCABULARY = 0.7
 PERCENT = 80
 _BREAK = np.ones(256, bool)
@@ -167,6 +167,20 @@ class Block:
                 best, at = score, j + 1
         return best, at
 
+    def enough_words(self, code: np.ndarray, at: np.ndarray, size: np.ndarray, item: np.ndarray, need: np.ndarray) -> np.ndarray:
+        """Whether stretches hold as many words of their item as a near match must; each matched word needs a place of its own."""
+        out = np.zeros(len(at), bool)
+        order = np.argsort(item, kind="stable")
+        cuts = np.flatnonzero(np.diff(item[order], prepend=-1, append=-1))
+        for a, b in zip(cuts, cuts[1:]):
+            for c in range(a, b, 20_000):
+                some = order[c: min(b, c + 20_000)]
+                steps = np.arange(int(size[some].max()))
+                inside = steps < size[some][:, None]
+                word = code[np.where(inside, at[some][:, None] + steps, 0)]
+                out[some] = (np.isin(word, self.codes[item[some[0]]]) & inside).sum(axis=1) >= need[some]
+        return out
+
     def search(self, code: np.ndarray, first: np.ndarray, percent: int) -> dict[tuple[int, int], tuple[int, int]]:
         """(row, item) -> (edits, end word) of the rows' best matches."""
         found: dict[tuple[int, int], tuple[int, int]] = {}
@@ -174,7 +188,7 @@ class Block:
             return found
         known = np.concatenate([[0], np.cumsum(self.words[(code >> U(44)).astype(np.int64)])])
         size = np.diff(first)
-        seen: set[tuple[int, int, int]] = set()
+        rows_, items_, starts_ = [], [], []
         for (w, s), tables in self.classes.items():
             n = np.maximum(0, (size - w) // s + 1) * (size >= w)
             row = np.repeat(np.arange(len(size)), n)
@@ -187,18 +201,29 @@ class Block:
                 for key, (keys, owner, shift, bits) in zip(walk.keys(code, pos, w), sides):
                     hit = np.flatnonzero(bits[(key >> U(64 - _BITMAP)).astype(np.int64)])
                     a, b = np.searchsorted(keys, key[hit], "left"), np.searchsorted(keys, key[hit], "right")
-                    for h, x, y in zip(hit[a < b].tolist(), a[a < b].tolist(), b[a < b].tolist()):
-                        r, p = int(row[h]), int(pos[h])
-                        for q in range(x, y):
-                            seen.add((r, int(owner[q]), p - int(shift[q]) - int(first[r])))
+                    which = np.repeat(np.arange(len(hit)), b - a)
+                    at = np.arange(len(which)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + a[which]
+                    rows_.append(row[hit][which])
+                    items_.append(owner[at])
+                    starts_.append(pos[hit][which] - shift[at] - first[row[hit][which]])
+        if not rows_:
+            return found
+        r, k, start = np.concatenate(rows_), np.concatenate(items_), np.concatenate(starts_)
+        order = np.lexsort((start, k, r))
+        r, k, start = r[order], k[order], start[order]
+        new = np.ones(len(r), bool)
+        new[1:] = (r[1:] != r[:-1]) | (k[1:] != k[:-1]) | (start[1:] != start[:-1])
+        r, k, start = r[new], k[new], start[new]
+        n = np.array([len(c) for c in self.codes])[k]
+        most = n * (100 - percent) // 100
+        lo, hi = np.maximum(0, start - most), np.minimum(size[r], start + n + most)
+        ok = self.enough_words(code, first[r] + lo, hi - lo, k, n - most)
         spans: list[list[int]] = []  # stretches that hold candidates of one row and item, joined where they overlap
-        for r, k, start in sorted(seen):
-            n, most = len(self.codes[k]), edits_allowed(len(self.codes[k]), percent)
-            lo, hi = max(0, start - most), min(int(size[r]), start + n + most)
-            if spans and spans[-1][:2] == [r, k] and lo <= spans[-1][3]:
-                spans[-1][3] = max(spans[-1][3], hi)
+        for x in zip(r[ok].tolist(), k[ok].tolist(), lo[ok].tolist(), hi[ok].tolist()):
+            if spans and spans[-1][0] == x[0] and spans[-1][1] == x[1] and x[2] <= spans[-1][3]:
+                spans[-1][3] = max(spans[-1][3], x[3])
             else:
-                spans.append([r, k, lo, hi])
+                spans.append(list(x))
         for r, k, lo, hi in spans:
             edits, end = self.distance(k, code[first[r] + lo: first[r] + hi].tolist())
             if edits <= edits_allowed(len(self.codes[k]), percent) and ((r, k) not in found or edits < found[r, k][0]):
