@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from tidewright.plans import bars_queries, record_queries, series_queries  # noqa: F401  they register themselves
+from tidewright.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
+
 FLAGSHIP = "ohlcv_bars"
