@@ -6,15 +6,16 @@ either collection, so 2 * HALVES * ROWS minhashes serve as many tables as
 HALVES ** 2 * 2 * ROWS would without the pairing. A text is spread over its
 tables only where both halves meet another text. At similarity 0.8 a pair is
 missed if no half of one side agrees, at most 2 * (1 - 0.8 ** ROWS) ** HALVES
-= 7e-5; above 0.8 more seldom.
+= 1.5e-4; at 0.85 it is 4e-6.
 
 Texts with equal sets are one node. Within a bucket no two nodes need all be
-compared: a few leaders are compared with the bucket's nodes of other
-components whose set size allows a link, links join components, and a bucket
-is done when it is one component or each of its nodes outside the largest one
-has led; four times as many lead from round to round. So groups of near copies
-cost about as many comparisons as they have members, no bucket is capped, and
-every comparison is exact.
+compared. While rounds are productive, each node outside the largest component
+of its buckets meets one node inside, links join components, and that settles
+groups of near copies with about as many comparisons as they have members a
+round. Then leaders meet all nodes of their bucket's other components whose
+set size allows a link, four times as many from round to round. A bucket is
+done when it is one component or each of its nodes outside the largest one has
+led; no bucket is capped, and every comparison is exact.
 
 Rows: null and empty texts and texts without words have an empty set and stay
 alone; a single word is its own shingle; rows with a null doc_id keep a null
@@ -33,9 +34,10 @@ from tidewright.llm.common import documents, partitions, prepare, staged
 from tidewright.llm.components import components
 from tidewright.llm.textunits import lower_ascii, mix, rolling, slices, word_codes, words
 
-HALVES = 10
-ROWS = 2
+HALVES = 18
+ROWS = 4
 LEADERS = 8
+PRODUCTIVE = 0.05
 SMALL = 32
 CHUNK = 400
 _ALONE = np.uint64(0xA0761D6478BD642F)
@@ -190,34 +192,38 @@ def links(docs: DataFrame, nodes: DataFrame, k: int, percent: int, hashes: Hashe
     bucket = _buckets(nodes, hashes.halves)
     suspects = bucket.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
     sets = staged(node_sets(docs, staged(suspects, "suspects"), k), "sets")
-    first = bucket.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.pmod("key", F.lit(3))).alias("o"), F.col("node"))).alias("lead"))
-    first = staged(first.select("key", F.col("lead.node").alias("u")), "lead")
-    led = bucket.join(first, "key").where("u <> node").select("u", F.col("node").alias("v")).distinct()
-    pairs = staged(led, "pairs")
-    tested = staged(confirm(pairs, sets, percent), "tested")
-    bucket, leaders = bucket.join(first, "key").where("u <> node").select("key", "node", "size"), LEADERS
-    edges = tested.where("linked").select("u", "v")
-    comp = staged(components(edges), "components")
+    comp = staged(bucket.select("node", F.col("node").alias("root")).limit(0), "components")
+    tested, light, turn, leaders = None, True, 0, LEADERS
+    both = (F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
     while True:
+        turn += 1
         marked = staged(bucket.join(comp, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root")), "marked")
-        held = marked.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
-        open_ = held.groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-        size = staged(open_.select("key", "n", F.col("most.root").alias("main"), (F.col("n") - F.col("most.m")).alias("outside")), "open")
-        if size.isEmpty():
+        held = marked.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "size")).alias("lead"))
+        open_ = held.groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "root", "lead")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+        open_ = staged(open_.select("key", "n", F.col("most.root").alias("main"), F.col("most.lead.node").alias("u"), F.col("most.lead.size").alias("size_u"), (F.col("n") - F.col("most.m")).alias("outside")), "open")
+        if open_.isEmpty():
             return comp
-        bucket = marked.join(size, "key")
-        # who leads next: every node outside the main component in a small bucket, else a share of them, by hash order
-        share = F.greatest(F.lit(1.0), F.col("outside") / leaders)
-        lead = bucket.where("root <> main").where((F.col("n") <= SMALL) | (F.pmod(F.xxhash64("node", "key", F.lit(leaders)), F.lit(1 << 20)) * share <= F.lit(1 << 20)))
-        lead = staged(lead.select("key", F.col("node").alias("u"), F.col("root").alias("root_u"), F.col("size").alias("size_u")), "lead")
-        leaders *= 4
+        outside = marked.join(open_, "key").where("root <> main")
         fits = 100 * F.least("size", "size_u") >= percent * F.greatest("size", "size_u")
-        pairs = bucket.join(lead, "key").where("root <> root_u").where(fits).select("u", F.col("node").alias("v")).distinct()
-        both = (F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
-        pairs = pairs.groupBy(*both).agg(F.min("u").alias("u")).withColumn("v", F.when(F.col("u") == F.col("a"), F.col("b")).otherwise(F.col("a")))
-        pairs = staged(pairs.join(tested.select(*both).distinct(), ["a", "b"], "left_anti").select("u", "v"), "pairs")
-        more = staged(confirm(pairs, sets, percent), "tested")
-        tested = tested.unionByName(more)
+        if light:  # a node outside the main component of its buckets meets one node inside
+            pick = F.min_by("u", F.xxhash64("u", "node", F.lit(turn))).alias("u")
+            pairs = outside.where(fits).groupBy(F.col("node").alias("v")).agg(pick).select("u", "v")
+        else:  # all of them in a small bucket, else a share by hash order, meet all nodes of other components
+            share = F.greatest(F.lit(1.0), F.col("outside") / leaders)
+            lead = outside.where((F.col("n") <= SMALL) | (F.pmod(F.xxhash64("node", "key", F.lit(leaders)), F.lit(1 << 20)) * share <= F.lit(1 << 20)))
+            lead = staged(lead.select("key", F.col("node").alias("u"), F.col("root").alias("root_u"), F.col("size").alias("size_u")), "lead")
+            leaders *= 4
+            pairs = marked.join(lead, "key").where("root <> root_u").where(fits).select("u", F.col("node").alias("v")).distinct()
+            pairs = pairs.groupBy(*both).agg(F.min("u").alias("u")).select("u", F.when(F.col("u") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("v"))
+            bucket = staged(marked.select("key", "node", "size").join(lead.select("key", F.col("u").alias("node")), ["key", "node"], "left_anti"), "buckets")
+        if tested is not None:
+            pairs = pairs.select("u", "v", *both).join(tested.select(*both).distinct(), ["a", "b"], "left_anti").select("u", "v")
+        more = staged(confirm(staged(pairs, "pairs"), sets, percent), "tested")
+        tested = more if tested is None else tested.unionByName(more)
+        n = more.agg(F.count(F.lit(1)).alias("all"), F.count_if("linked").alias("linked")).first()
+        light = light and n["linked"] >= PRODUCTIVE * n["all"] > 0
+        if not n["linked"]:
+            continue
         joined = more.where("linked").select("u", "v")
         for c in ("u", "v"):  # links between components, by their roots
             joined = joined.join(comp.select(F.col("node").alias(c), "root"), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
@@ -225,7 +231,6 @@ def links(docs: DataFrame, nodes: DataFrame, k: int, percent: int, hashes: Hashe
         old = comp.join(up.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
         new = up.join(comp.select("node"), "node", "left_anti").select("node", F.col("top").alias("root"))
         comp = staged(old.unionByName(new), "components")
-        bucket = staged(bucket.select("key", "node", "size").join(lead.select("key", F.col("u").alias("node")), ["key", "node"], "left_anti"), "buckets")
 
 
 def near_duplicates(docs: DataFrame, k: int, percent: int = 80, halves: int = HALVES, rows: int = ROWS) -> DataFrame:

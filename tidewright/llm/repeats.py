@@ -40,8 +40,8 @@ from tidewright.llm.common import new_path, partitions, prepare, staged
 from tidewright.llm.textunits import anchors, mix, mix_int, rolling, slices, word_codes, words
 
 SLICE = 2 << 20
-GROUP = 4000
-HOT = 16_384
+GROUP = 16_384
+HOT = 65_536
 U = np.uint64
 _EDGE = U(0x5851F42D4C957F2D)
 _BYTE = mix(np.arange(256, dtype=np.uint64))
@@ -166,7 +166,7 @@ def per_slice(index: DataFrame, notes: DataFrame | None, work, schema: str) -> D
     if notes is not None:
         none = [F.lit(None).cast(t).alias(n) for n, t in (("uri", "string"), ("at", "long"), ("size", "long"))]
         rows = rows.unionByName(notes.select("slice", F.lit(1).alias("kind"), *none, "payload"))
-    n = max(4 * partitions(spark), 12)
+    n = max(2 * partitions(spark), 12)
     rows = rows.repartition(n, "slice").sortWithinPartitions("slice", "kind")
 
     def run(batches):
@@ -580,7 +580,7 @@ def resolve(cores: DataFrame, kind: Kind, solve) -> DataFrame:
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
                 if row[:3] != now:
-                    if held and (row[:2] != now[:2] or len(held) >= 4 * GROUP):  # several groups of a range at once
+                    if held and (row[:2] != now[:2] or len(held) >= GROUP):  # several groups of a range at once
                         yield from emit(held)
                         held = []
                     now = row[:3]
