@@ -42,19 +42,23 @@ _INDEX = "archive string, offset long, length long, url string, digest string, p
 def with_types(table: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """``page_id, url, html`` with payload_bytes, payload_digest, record_type and refers_to.
 
-    Groups of equal payloads are summed before the shuffle; the join back goes
-    over the digests that repeat, which are staged first, so that a digest
-    that many pages share can be split over tasks by adaptive execution.
+    Groups of equal payloads are summed before the shuffle. Only narrow rows
+    meet the digests that repeat (staged first, so that a digest that many
+    pages share can be split over tasks by adaptive execution); the payloads
+    then meet the revisits by page, which spreads them evenly.
     """
     body = F.coalesce(F.col("html"), F.lit(""))
     one = table.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
     one = one.withColumn("payload_digest", F.sha2(F.encode(body, "UTF-8"), 256)).withColumn("payload_bytes", F.octet_length(body).cast("long"))
     rank = F.struct(F.col("page_id").isNull().alias("n"), F.col("page_id").alias("p"), F.xxhash64("url").alias("u"))
-    first = one.where(F.col("payload_bytes") >= min_revisit).groupBy("payload_digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    first = staged(first.select("payload_digest", "first"), "repeated")
-    both = one.withColumn("rank", rank).join(first, "payload_digest", "left")
-    revisit = F.col("first").isNotNull() & ~F.col("rank").eqNullSafe(F.col("first"))
-    return both.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first.p")).alias("refers_to"))
+    meta = staged(one.where(F.col("payload_bytes") >= min_revisit).select("page_id", "url", "payload_digest", rank.alias("rank")), "meta", "snappy")
+    first = meta.groupBy("payload_digest").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    first = staged(first.select("payload_digest", "first"), "repeated", "snappy")
+    again = meta.join(first, "payload_digest").where(~F.col("rank").eqNullSafe(F.col("first")))
+    again = staged(again.select(F.col("page_id").alias("p"), F.col("url").alias("u"), F.col("payload_digest").alias("d"), F.col("first.p").alias("to")).distinct(), "revisits", "snappy")
+    both = one.join(again, one.page_id.eqNullSafe(again.p) & one.url.eqNullSafe(again.u) & (one.payload_digest == again.d), "left")
+    revisit = F.col("d").isNotNull()
+    return both.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.col("to").alias("refers_to"))
 
 
 def record(page_id, url, payload: bytes, digest: str, kind: str, refers_to) -> bytes:
