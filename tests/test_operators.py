@@ -217,3 +217,24 @@ def test_liquidations_and_snapshots(spark):
     assert [(r["symbol"], r["side"], r["price"]) for r in readers.liquidation_frames(raw).collect()] == [("X", "sell", 1.5)]
     snap = spark.createDataFrame([('{"AB":{"wsname":"A/B","base":"A","quote":"B","ordermin":"0.5"}}',)], "value string")
     assert [(r["base"], r["quote"], r["ordermin"]) for r in readers.pair_table(snap).collect()] == [("A", "B", 0.5)]
+
+
+def test_orders_wait_behind_the_queue_and_fill_whole(spark):
+    from tidewright.operators import fills
+
+    level = "array<struct<price:double,qty:double>>"
+    books = spark.createDataFrame([("x", s, 0.0, [(99.0, 5.0)], [(101.0, 5.0)]) for s in range(0, 12)], f"pair string, second long, stale_seconds double, bids {level}, asks {level}")
+    tape = spark.createDataFrame([("x", 1_500_000, 1, "sell", 99.0, 5.5), ("x", 2_500_000, 2, "sell", 99.0, 0.6), ("x", 3_500_000, 3, "buy", 102.0, 0.9)], "pair string, us long, seq long, side string, price double, qty double")
+    rows = {(r["side"], r["size"]): r for r in fills.simulate_fills(books, tape, ["pair"], notionals=(99.0, 990.0), every=100, tick=1.0, horizon=8, read_after=5).collect()}
+    assert rows["bid", 0]["filled"] and rows["bid", 0]["time_to_fill"] == 2.5  # 0.5 past the queue, then 0.6
+    assert not rows["bid", 1]["filled"] and rows["bid", 1]["cancelled_after"] == 8.0
+    assert not rows["ask", 0]["filled"]  # 0.9 traded through, 99 / 101 asked
+    assert rows["ask", 0]["mid_after"] == 100.0 and rows["bid", 0]["queue_ahead"] == 5.0
+
+
+def test_sleeves_fall_back_to_equal(spark):
+    from tidewright.operators import books
+
+    df = spark.createDataFrame([(k, 0.01 * (-1) ** k, 0.02 * (-1) ** k, 0.0 if k < 6 else 0.01 * (-1) ** k) for k in range(12)], "k long, a double, b double, c double")
+    rows = books.sleeve_weights(df, ["a", "b", "c"], 4).orderBy("k").collect()
+    assert rows[5]["w_a"] == pytest.approx(1 / 3) and rows[11]["w_a"] == pytest.approx(2 * rows[11]["w_b"])

@@ -26,6 +26,11 @@ def union_calendar(rows: DataFrame, asset: str = "asset") -> DataFrame:
     return full.withColumn("k", F.row_number().over(W.partitionBy(asset).orderBy("ts")) - 1)
 
 
+def filled(value: str, w=None) -> Column:
+    """The last value that is not null, at or before each row."""
+    return F.last(value, ignorenulls=True).over((w or by()).rowsBetween(W.unboundedPreceding, 0))
+
+
 def simple_return(value: str = "close", w=None) -> Column:
     """The move k to k + 1; null where either end is, and at the last k."""
     w = w or by()

@@ -167,10 +167,10 @@ def hhi(spark, sf):
     return rounded(limits.structural_metrics(b).select("k", "hhi"), ["hhi"], 9)
 
 
-@query("equity_curve", f"""WITH {DENSE}, {_RET}, e AS (SELECT k, exp(sum(ln(1 + r * 0.01)) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING)) AS equity FROM r WHERE r IS NOT NULL)
+@query("equity_curve", f"""WITH {DENSE}, {_RET}, e AS (SELECT k, exp(sum(ln(1 + r * 0.001)) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING)) AS equity FROM r WHERE r IS NOT NULL)
 SELECT k, round(equity, 6) AS equity, round(equity / greatest(1, max(equity) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING)) - 1, 6) AS drawdown FROM e""")
 def equity_curve(spark, sf):
-    df = returns(dense(spark, sf)).where("r is not null").withColumn("r", F.col("r") * 0.01)
+    df = returns(dense(spark, sf)).where("r is not null").withColumn("r", F.col("r") * 0.001)
     return rounded(recurrence.equity_curve(df, ["asset"]).drop("asset"), ["equity", "drawdown"])
 
 
