@@ -216,12 +216,12 @@ def splice_rows(spark, sf):
     return out.select("source", "pair", "ts", "seq")
 
 
-@query("overlap_seconds", f"""WITH {TICKS}, {_HOURS}, {_SIL}, win AS (SELECT pair, ts AS start, ts + INTERVAL '10 minutes' AS "end" FROM ticks WHERE seq % 4 = 0),
+@query("overlap_seconds", f"""WITH {TICKS}, {_HOURS}, {_SIL}, win AS (SELECT pair, ts AS start, ts + INTERVAL '10 minutes' AS "end" FROM ticks),
 n AS (SELECT *, CASE WHEN max("end") OVER (PARTITION BY pair ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= start THEN 0 ELSE 1 END AS new FROM win),
 r AS (SELECT *, sum(new) OVER (PARTITION BY pair ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS run FROM n), m AS (SELECT pair, run, min(start) AS ws, max("end") AS we FROM r GROUP BY 1, 2)
 SELECT g.pair, round(sum((epoch_us(least(g."end", m.we)) - epoch_us(greatest(g.start, m.ws))) / 1e6), 6) AS seconds FROM gaps g JOIN m ON m.pair = g.pair AND m.ws < g."end" AND m.we > g.start GROUP BY 1""")
 def overlap_seconds(spark, sf):
-    t = ticks(spark, sf).where("seq % 4 = 0")
+    t = ticks(spark, sf)
     win = t.select("pair", F.col("ts").alias("start"), (F.col("ts") + F.expr("interval 10 minutes")).alias("end"))
     return rounded(archive.overlap_seconds(_gaps(spark, sf).select("pair", "start", "end"), win, ["pair"]), ["seconds"])
 
@@ -256,11 +256,11 @@ def union_counts(spark, sf):
     return archive.union_counts(_trades(spark, sf, "l_linenumber % 2 = 0"), _trades(spark, sf, "l_linenumber % 2 = 1"), ["pair"])
 
 
-@query("id_gaps", f"""WITH t AS {_trades_sql('l_linenumber = 1')}, f AS (SELECT pair, trade_id, arg_min(ts, seq) AS t FROM t GROUP BY 1, 2),
+@query("id_gaps", f"""WITH t AS {_trades_sql('true')}, f AS (SELECT pair, trade_id, arg_min(ts, seq) AS t FROM t GROUP BY 1, 2),
 g AS (SELECT pair, trade_id AS after_id, lead(trade_id) OVER w AS before_id, t AS a, lead(t) OVER w AS b FROM f WINDOW w AS (PARTITION BY pair ORDER BY trade_id))
 SELECT pair, after_id, before_id, before_id - after_id - 1 AS missing FROM g WHERE before_id > after_id + 1""")
 def id_gaps(spark, sf):
-    return archive.id_gaps(_trades(spark, sf, "l_linenumber = 1"), ["pair"]).select("pair", "after_id", "before_id", "missing")
+    return archive.id_gaps(_trades(spark, sf, "true"), ["pair"]).select("pair", "after_id", "before_id", "missing")
 
 
 @query("id_summary", f"""WITH t AS {_trades_sql('true')}, c AS (SELECT pair, trade_id, count(*) AS n FROM t GROUP BY 1, 2), s AS (SELECT pair, sum(n)::BIGINT AS rows, count(*)::BIGINT AS "unique", count(*) FILTER (n > 1)::BIGINT AS duplicate_ids, max(trade_id) - min(trade_id) + 1 AS span FROM c GROUP BY 1)

@@ -92,10 +92,10 @@ def sleeve_weights(spark, sf):
 
 
 def maker(spark, sf):
-    rows = book_rows(spark, sf).where("seq < 2000")  # as in book_panel: a stretch of the stream at ten events a second
+    rows = book_rows(spark, sf)  # as in book_panel, at ten events a second
     clock = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(seq / 10 as decimal(18,6)))")
     shown = orderbook.replay_panel(orderbook.regroup_messages(rows.withColumn("ts", clock), ["pair"]), ["pair"], depth=10)
-    tape = table(spark, sf, "events").where("event_id < 2000").select(F.col("event_type").alias("pair"), F.unix_micros(F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(event_id / 10 as decimal(18,6)))")).alias("us"), F.col("event_id").alias("seq"), F.when(F.col("user_id") % 2 == 0, "sell").otherwise("buy").alias("side"), F.when(F.col("user_id") % 2 == 0, 100.0 - F.col("user_id") % 5).otherwise(101.0 + F.col("user_id") % 5).alias("price"), F.col("value").alias("qty"))
+    tape = table(spark, sf, "events").select(F.col("event_type").alias("pair"), F.unix_micros(F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(event_id / 10 as decimal(18,6)))")).alias("us"), F.col("event_id").alias("seq"), F.when(F.col("user_id") % 2 == 0, "sell").otherwise("buy").alias("side"), F.when(F.col("user_id") % 2 == 0, 100.0 - F.col("user_id") % 5).otherwise(101.0 + F.col("user_id") % 5).alias("price"), F.col("value").alias("qty"))
     return fills.simulate_fills(shown, tape, ["pair"], every=10, tick=1.0, read_after=10)
 
 

@@ -27,7 +27,7 @@ def book_messages(spark, sf):
 
 @query("book_panel")
 def book_panel(spark, sf):
-    rows = book_rows(spark, sf).where("seq < 2000")  # the panel is per second: a stretch of the stream is the feature's window
+    rows = book_rows(spark, sf)  # replayed at ten events a second
     m = orderbook.regroup_messages(rows.withColumn("ts", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(seq / 10 as decimal(18,6)))")), ["pair"])
     p = orderbook.sample_rows(orderbook.replay_panel(m, ["pair"], depth=10)).drop("bids", "asks")
     return rounded(p, [c for c in p.columns if c not in ("pair", "second", "updates")])
@@ -41,11 +41,11 @@ def book_replay_errors(spark, sf):
 def cells(spark, sf):
     """A user's events as observed values: the day of an event is a day, its hour an observation."""
     e = table(spark, sf, "events")
-    c = e.where("user_id % 3 = 0").select(F.col("event_type").alias("series"), (F.col("user_id") % 40).cast("long").alias("position"), F.to_date(F.expr("timestamp_ntz'2024-01-01 00:00:00'") + F.expr("make_dt_interval(cast(event_id % 30 as int))")).alias("day"), F.floor(F.col("value") / 60).cast("int").cast("string").alias("token"), "event_id")
+    c = e.select(F.col("event_type").alias("series"), (F.col("user_id") % 40).cast("long").alias("position"), F.to_date(F.expr("timestamp_ntz'2024-01-01 00:00:00'") + F.expr("make_dt_interval(cast(event_id % 30 as int))")).alias("day"), F.floor(F.col("value") / 60).cast("int").cast("string").alias("token"), "event_id")
     return c.groupBy("series", "position", "day").agg(F.min_by("token", "event_id").alias("token"))
 
 
-_CELLS = """cells AS (SELECT series, position, day, arg_min(token, event_id) AS token FROM (SELECT event_type AS series, user_id % 40 AS position, (DATE '2024-01-01' + (event_id % 30)::INT)::DATE AS day, floor(value / 60)::INT::VARCHAR AS token, event_id FROM events WHERE user_id % 3 = 0) GROUP BY 1, 2, 3),
+_CELLS = """cells AS (SELECT series, position, day, arg_min(token, event_id) AS token FROM (SELECT event_type AS series, user_id % 40 AS position, (DATE '2024-01-01' + (event_id % 30)::INT)::DATE AS day, floor(value / 60)::INT::VARCHAR AS token, event_id FROM events) GROUP BY 1, 2, 3),
 obs AS (SELECT series, position, min(day) AS first_day, max(day) AS last_day, count(*)::BIGINT AS days, position % 2 = 0 AS evidence, TIMESTAMP '2024-02-01' + INTERVAL 1 HOUR * position AS knowable_at FROM cells GROUP BY 1, 2)"""
 _VERSIONS = """hi AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY position) AS nth, max(last_day) OVER (PARTITION BY series ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM obs),
 born AS (SELECT series, day, min(position) AS born FROM cells GROUP BY 1, 2), gone AS (SELECT b.series, o.position, b.day FROM born b JOIN obs o ON o.series = b.series AND o.evidence AND o.position > b.born AND b.day BETWEEN o.first_day AND o.last_day WHERE NOT EXISTS (SELECT 1 FROM cells c WHERE c.series = b.series AND c.position = o.position AND c.day = b.day)),
