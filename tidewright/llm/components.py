@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from tidewright.llm.common import staged
 
 
-def _mark(edges: DataFrame):
-    r = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("h"), F.bit_xor(F.xxhash64("v", "u")).alias("x")).first()
-    return r["n"], r["h"], r["x"]
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge down, or only edges up: each component is a star round its least node."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    node = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return node.where("down > 1 or (down = 1 and up = 1)").limit(1).isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,20 +20,16 @@ def components(edges: DataFrame) -> DataFrame:
 
     A step joins each node's edges with the least of its neighbours; that
     least is summed before the shuffle and staged, so a node with very many
-    edges may be split by adaptive execution. Ends when a step changes nothing.
+    edges may be split by adaptive execution. Ends when all components are stars.
     """
     now = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = _mark(now)
-    while mark[0]:
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = staged(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
-        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = staged(large.unionByName(now.join(low, "u").where("m = v").select("u", "v")).distinct(), "large")
-        low = staged(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))  # a node has few neighbours below itself by now
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = staged(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        was, mark = mark, _mark(now)
-        if mark == was:
-            break
     roots = now.select("v").distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))

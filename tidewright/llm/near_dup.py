@@ -37,7 +37,7 @@ from tidewright.llm.textunits import lower_ascii, mix, rolling, slices, word_cod
 HALVES = 18
 ROWS = 4
 LEADERS = 8
-PRODUCTIVE = 0.05
+PRODUCTIVE = 0.25
 SMALL = 32
 CHUNK = 400
 _ALONE = np.uint64(0xA0761D6478BD642F)
@@ -203,10 +203,11 @@ def links(docs: DataFrame, nodes: DataFrame, k: int, percent: int, hashes: Hashe
         open_ = staged(open_.select("key", "n", F.col("most.root").alias("main"), F.col("most.lead.node").alias("u"), F.col("most.lead.size").alias("size_u"), (F.col("n") - F.col("most.m")).alias("outside")), "open")
         if open_.isEmpty():
             return comp
+        bucket = marked.join(open_.select("key"), "key", "left_semi").select("key", "node", "size")
         outside = marked.join(open_, "key").where("root <> main")
         fits = 100 * F.least("size", "size_u") >= percent * F.greatest("size", "size_u")
         if light:  # a node outside the main component of its buckets meets one node inside
-            pick = F.min_by("u", F.xxhash64("u", "node", F.lit(turn))).alias("u")
+            pick = F.min_by("u", F.xxhash64("u", F.lit(turn))).alias("u")
             pairs = outside.where(fits).groupBy(F.col("node").alias("v")).agg(pick).select("u", "v")
         else:  # all of them in a small bucket, else a share by hash order, meet all nodes of other components
             share = F.greatest(F.lit(1.0), F.col("outside") / leaders)
@@ -215,7 +216,7 @@ def links(docs: DataFrame, nodes: DataFrame, k: int, percent: int, hashes: Hashe
             leaders *= 4
             pairs = marked.join(lead, "key").where("root <> root_u").where(fits).select("u", F.col("node").alias("v")).distinct()
             pairs = pairs.groupBy(*both).agg(F.min("u").alias("u")).select("u", F.when(F.col("u") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("v"))
-            bucket = staged(marked.select("key", "node", "size").join(lead.select("key", F.col("u").alias("node")), ["key", "node"], "left_anti"), "buckets")
+            bucket = staged(bucket.join(lead.select("key", F.col("u").alias("node")), ["key", "node"], "left_anti"), "buckets")
         if tested is not None:
             pairs = pairs.select("u", "v", *both).join(tested.select(*both).distinct(), ["a", "b"], "left_anti").select("u", "v")
         more = staged(confirm(staged(pairs, "pairs"), sets, percent), "tested")
