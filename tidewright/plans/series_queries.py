@@ -213,11 +213,11 @@ def base_exposures(spark, sf):
 
 
 # statistics
-@query("series_metrics", f"""WITH {DENSE}, {_RET}, x AS (SELECT k, r * 0.1 AS r FROM r WHERE r IS NOT NULL), e AS (SELECT k, exp(sum(ln(1 + r)) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING)) AS q FROM x),
+@query("series_metrics", f"""WITH {DENSE}, {_RET}, x AS (SELECT k, r * 0.001 AS r FROM r WHERE r IS NOT NULL), e AS (SELECT k, exp(sum(ln(1 + r)) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING)) AS q FROM x),
 d AS (SELECT min(q / p - 1) AS dd FROM (SELECT q, greatest(1, max(q) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING)) AS p FROM e))
 SELECT count(*)::BIGINT AS n, round(avg(r), 9) AS mean, round(stddev_samp(r) * sqrt(365.0), 6) AS vol, round(avg(r) / stddev_samp(r) * sqrt(365.0), 6) AS sharpe, round(pow(exp(sum(ln(1 + r))), 365.0 / count(*)) - 1, 6) AS annual_return, round((SELECT dd FROM d), 6) AS max_drawdown FROM x""")
 def series_metrics(spark, sf):
-    df = returns(dense(spark, sf)).where("r is not null").withColumn("r", F.col("r") * 0.1)
+    df = returns(dense(spark, sf)).where("r is not null").withColumn("r", F.col("r") * 0.001)
     m = rounded(stats.metrics(df, ["asset"]).drop("asset"), ["vol", "sharpe", "annual_return", "max_drawdown"])
     return rounded(m, ["mean"], 9)
 
