@@ -9,6 +9,7 @@ special token between them; chunks met before come from the memo.
 from __future__ import annotations
 
 import sys
+from itertools import repeat
 
 import numpy as np
 
@@ -91,9 +92,8 @@ class Encoder:
         other = [w for w in fresh if len(w) > _LONG_CHUNK or b"<|" in w]
         for i in range(0, len(plain), 20_000):
             part = plain[i: i + 20_000]
-            for w in part:
-                self.index[w] = len(self.index)
-            text = _BREAK.join(w.decode("utf-8", "replace") for w in part)
+            self.index.update(zip(part, range(len(self.index), len(self.index) + len(part))))
+            text = _BREAK.encode().join(part).decode("utf-8", "replace")
             ids = np.array(self.library.encode(text, add_special_tokens=False).ids, np.int64)
             stops = np.concatenate([[-1], np.flatnonzero(ids == self.stop), [len(ids)]])
             self._append(ids[ids != self.stop], np.diff(stops) - 1)
@@ -113,14 +113,17 @@ class Encoder:
             counts.append(len(parts))
         if not chunks:
             return self.pool[:0], np.zeros(len(texts), np.int64)
-        fresh = [w for w in dict.fromkeys(chunks) if w not in self.index]
-        if fresh:
-            self._learn(fresh)
-        at = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
+        at = np.fromiter(map(self.index.get, chunks, repeat(-1)), np.int32, len(chunks))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            fresh = [chunks[i] for i in new.tolist()]
+            self._learn(list(dict.fromkeys(fresh)))
+            at[new] = np.fromiter(map(self.index.__getitem__, fresh), np.int32, len(fresh))
         sizes = self.size[at]
         ends = np.cumsum(sizes)
         total = int(ends[-1])
-        where = np.arange(total) + np.repeat(self.first[at] - (ends - sizes), sizes)
+        where = np.repeat((self.first[at] - (ends - sizes)).astype(np.int32), sizes)
+        where += np.arange(total, dtype=np.int32)
         bounds = np.concatenate([[0], np.cumsum(counts)])
         upto = np.concatenate([[0], ends])[bounds]
         return self.pool[where], np.diff(upto)
