@@ -257,12 +257,14 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> Data
 
     judged = near_duplicates(docs, k, percent)
     gone = staged(judged.where(~F.col("kept")).select("doc_id").distinct(), "gone")
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = staged(left.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 and doc_id is not null").select("doc_id"), "again")
+    left = docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    again = staged(left.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "again")
     if again.isEmpty():
         return left
-    few = left.join(again, "doc_id", "left_semi").withColumn("_r", F.row_number().over(W.partitionBy("doc_id", "text").orderBy(F.lit(1)))).where("_r = 1").select(*docs.columns)
-    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(few)
+    nth = "_".join(["nth", *left.columns])  # no column of the input has this name
+    few = left.join(again, "doc_id", "left_semi").withColumn(nth, F.row_number().over(W.partitionBy("doc_id", "text").orderBy(F.lit(1))))
+    few = few.where(F.col(f"`{nth}`") == 1).select(*[f"`{c}`" for c in docs.columns])
+    return left.join(again, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns]).unionByName(few)
 
 
 def op9_minhash(spark, sf_dir):
