@@ -123,5 +123,7 @@ def test_half_keys_agree_as_often_as_they_should():
     rng = np.random.default_rng(0)
     a = near_dup.mix(rng.integers(0, 1 << 62, 1000).astype(np.uint64))
     b = np.concatenate([a[:900], near_dup.mix(rng.integers(0, 1 << 62, 100).astype(np.uint64))])
-    keys = hashes.half_keys(np.concatenate([a, b]), np.array([0, 1000, 2000]))
+    keys, bits = hashes.half_keys(np.concatenate([a, b]), np.array([0, 1000, 2000]))
     assert abs((keys[:, 0] == keys[:, 1]).mean() - 900 / 1100) < 0.05
+    apart = sum(int(x).bit_count() for x in (bits[:, 0] ^ bits[:, 1]).tolist())
+    assert abs(apart - 128 * (1 - 900 / 1100) / 2) < 16

@@ -10,12 +10,13 @@ missed if no half of one side agrees, at most 2 * (1 - 0.8 ** ROWS) ** HALVES
 
 Texts with equal sets are one node. Within a bucket no two nodes need all be
 compared. While rounds are productive, each node outside the largest component
-of its buckets meets one node inside, links join components, and that settles
-groups of near copies with about as many comparisons as they have members a
-round. Then leaders meet all nodes of their bucket's other components whose
-set size allows a link, four times as many from round to round. A bucket is
-done when it is one component or each of its nodes outside the largest one has
-led; no bucket is capped, and every comparison is exact.
+of its buckets meets the one node inside that its minhash bits are likest to;
+links join components, and that settles groups of near copies with about as
+many comparisons as they have members a round. Then nodes outside lead, four
+times as many from round to round: in blocks of leaders they meet the nodes of
+their buckets' other components, each of which is sent once to a block. A
+bucket is done when it is one component or each of its nodes outside the
+largest one has led; no bucket is capped, and every comparison is exact.
 
 Rows: null and empty texts and texts without words have an empty set and stay
 alone; a single word is its own shingle; rows with a null doc_id keep a null
@@ -38,6 +39,9 @@ HALVES = 18
 ROWS = 4
 LEADERS = 8
 PRODUCTIVE = 0.25
+BITS = 128
+LED = 256
+MEMBERS = 2000
 SMALL = 32
 CHUNK = 400
 _ALONE = np.uint64(0xA0761D6478BD642F)
@@ -76,8 +80,8 @@ class Hashes:
         seeds = mix(np.arange(2 * n, dtype=np.uint64) + np.uint64(seed * 1_000_003))
         self.mul, self.xor = seeds[:n] | np.uint64(1), seeds[n:]
 
-    def half_keys(self, flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """(2 * halves, sets) codes; flat holds nonempty sets in a row, from bounds[:-1]."""
+    def half_keys(self, flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(2 * halves, sets) codes, and (2, sets) words of one bit of each of 128 minhashes; flat holds nonempty sets in a row, from bounds[:-1]."""
         mins = np.empty((len(self.mul), len(bounds) - 1), np.uint64)
         for j, (m, x) in enumerate(zip(self.mul, self.xor)):
             mins[j] = np.minimum.reduceat((flat ^ x) * m, bounds[:-1])
@@ -86,11 +90,14 @@ class Hashes:
             keys[h] = mix(np.full(1, h + 1, np.uint64))[0]
             for r in range(self.rows):
                 keys[h] = mix(keys[h] ^ mins[h * self.rows + r])
-        return keys
+        bits = np.zeros((2, len(bounds) - 1), np.uint64)
+        for j in range(min(BITS, len(mins))):
+            bits[j // 64] |= (mix(mins[j]) & np.uint64(1)) << np.uint64(j % 64)
+        return keys, bits
 
 
 def sketches(docs: DataFrame, k: int, hashes: Hashes) -> DataFrame:
-    """doc_id, n_shingles, node (16 bytes, null for empty sets), halves (array of half keys)."""
+    """doc_id, n_shingles, node (16 bytes, null for empty sets), halves (array of half keys), s1 and s2 (bits of the minhashes)."""
 
     def run(batches):
         import pyarrow as pa
@@ -99,15 +106,16 @@ def sketches(docs: DataFrame, k: int, hashes: Hashes) -> DataFrame:
             sets = list(shingle_sets(data, off, k))
             size = np.array([len(s) for s in sets])
             full = np.flatnonzero(size)
-            halves = [None] * len(sets)
+            halves, bits = [None] * len(sets), np.zeros((2, len(sets)), np.int64)
             if len(full):
-                keys = hashes.half_keys(np.concatenate([sets[i] for i in full]), np.concatenate([[0], np.cumsum(size[full])])).view(np.int64)
+                keys, some = (x.view(np.int64) for x in hashes.half_keys(np.concatenate([sets[i] for i in full]), np.concatenate([[0], np.cumsum(size[full])])))
+                bits[:, full] = some
                 for j, i in enumerate(full.tolist()):
                     halves[i] = keys[:, j]
             nodes = [fingerprint(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(size, pa.int64()), pa.array(nodes, pa.binary()), pa.array(halves, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "node", "halves"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(size, pa.int64()), pa.array(nodes, pa.binary()), pa.array(halves, pa.list_(pa.int64())), *map(pa.array, bits)], names=["doc_id", "n_shingles", "node", "halves", "s1", "s2"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, node binary, halves array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, node binary, halves array<long>, s1 long, s2 long")
 
 
 def node_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -171,14 +179,68 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "u binary, v binary, linked boolean")
 
 
+def confirm_blocks(marked: DataFrame, lead: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links (u, v, linked) between leaders and the nodes of other components in their buckets.
+
+    Leaders of one main component are dealt into blocks of about ``LED``; a
+    node goes once to each block with which it shares a bucket, in chunks of
+    about ``MEMBERS``, and meets the block's leaders in one look-up of its
+    shingles among all of theirs. ``lead``: key, u, root_u, main.
+    """
+    spark = marked.sparkSession
+    each = lead.groupBy("u").agg(F.min("main").alias("family"), F.min("root_u").alias("root"))
+    count = each.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / LED).alias("blocks"))
+    each = staged(each.join(count, "family").select("u", "root", "family", F.pmod(F.xxhash64("u"), F.col("blocks")).alias("block")), "each")
+    where = staged(lead.select("key", "u").join(each, "u").select("key", "family", "block").distinct(), "blocks")
+    member = staged(marked.select("key", "node", "root").join(where, "key").select("family", "block", F.col("node").alias("v"), "root").distinct(), "members")
+    chunks = staged(member.groupBy("family", "block").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("chunks")), "chunks")
+    rows = member.join(chunks, ["family", "block"]).withColumn("chunk", F.pmod(F.xxhash64("v"), F.col("chunks")))
+    rows = rows.join(sets, rows.v == sets.node).select("family", "block", "chunk", F.lit(1).alias("side"), "v", "root", "shingles")
+    heads = each.join(chunks, ["family", "block"]).join(sets, each.u == sets.node)
+    heads = heads.select("family", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"), F.col("u").alias("v"), "root", "shingles")
+
+    def run(batches):
+        import pyarrow as pa
+
+        now, us, roots, size, flat, owner = None, [], [], None, None, None
+        for b in batches:
+            out = []
+            for fam, blk, chunk, side, v, root, blob in zip(*(c.to_pylist() for c in b.columns[:6]), b.column(6)):
+                mine = _codes(blob.as_buffer())
+                if now != (fam, blk, chunk):
+                    now, us, roots, held, flat = (fam, blk, chunk), [], [], [], None
+                if side == 0:
+                    us.append(v)
+                    roots.append(root)
+                    held.append(mine)
+                    continue
+                if flat is None:
+                    size = np.array([len(h) for h in held])
+                    flat, owner = np.concatenate(held), np.repeat(np.arange(len(held)), size)
+                    order = np.argsort(flat, kind="stable")
+                    flat, owner = flat[order], owner[order]
+                lo, hi = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
+                n = hi - lo
+                at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+                same = np.bincount(owner[at], minlength=len(us))
+                for i in np.flatnonzero(100 * same >= percent * (len(mine) + size - same)).tolist():
+                    if roots[i] != root and us[i] != v:
+                        out.append((us[i], v, True))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.binary(), pa.bool_()))], names=["u", "v", "linked"])
+
+    both = heads.unionByName(rows).repartition(partitions(spark), "family", "block", "chunk").sortWithinPartitions("family", "block", "chunk", "side")
+    return both.mapInArrow(run, "u binary, v binary, linked boolean")
+
+
 def _buckets(nodes: DataFrame, halves: int) -> DataFrame:
-    """(key, node, size) of all tables' buckets with two nodes or more."""
-    flat = nodes.select("node", "size", F.posexplode("halves").alias("at", "half"))
+    """(key, node, size, s1, s2) of all tables' buckets with two nodes or more."""
+    flat = nodes.select("node", "size", "s1", "s2", F.posexplode("halves").alias("at", "half"))
     often = staged(flat.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half"), "halves")
     met = flat.join(often, "half")
-    sides = met.groupBy("node", "size").agg(*(F.collect_set(F.when(c, F.col("half"))).alias(x) for x, c in (("a", F.col("at") < halves), ("b", F.col("at") >= halves))))  # at most `halves` each
-    pairs = sides.select("node", "size", F.explode("a").alias("p"), "b").select("node", "size", "p", F.explode("b").alias("q"))
-    keyed = staged(pairs.select(F.xxhash64("p", "q").alias("key"), "node", "size"), "keys")
+    sides = met.groupBy("node", "size", "s1", "s2").agg(*(F.collect_set(F.when(c, F.col("half"))).alias(x) for x, c in (("a", F.col("at") < halves), ("b", F.col("at") >= halves))))  # at most `halves` each
+    pairs = sides.select("node", "size", "s1", "s2", F.explode("a").alias("p"), "b").select("node", "size", "s1", "s2", "p", F.explode("b").alias("q"))
+    keyed = staged(pairs.select(F.xxhash64("p", "q").alias("key"), "node", "size", "s1", "s2"), "keys")
     often = staged(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "tables")
     return staged(keyed.join(often, "key"), "buckets")
 
@@ -186,7 +248,7 @@ def _buckets(nodes: DataFrame, halves: int) -> DataFrame:
 def links(docs: DataFrame, nodes: DataFrame, k: int, percent: int, hashes: Hashes) -> DataFrame:
     """(node, root): the component of every node that is linked with another.
 
-    ``nodes`` (node, doc_id, size, halves) has a row per distinct set.
+    ``nodes`` (node, doc_id, size, s1, s2, halves) has a row per distinct set.
     """
     spark = docs.sparkSession
     bucket = _buckets(nodes, hashes.halves)
@@ -197,32 +259,32 @@ def links(docs: DataFrame, nodes: DataFrame, k: int, percent: int, hashes: Hashe
     both = (F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
     while True:
         turn += 1
-        marked = staged(bucket.join(comp, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root")), "marked")
-        held = marked.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "size")).alias("lead"))
+        marked = staged(bucket.join(comp, "node", "left").select("key", "node", "size", "s1", "s2", F.coalesce("root", "node").alias("root")), "marked")
+        held = marked.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "size", "s1", "s2")).alias("lead"))
         open_ = held.groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "root", "lead")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-        open_ = staged(open_.select("key", "n", F.col("most.root").alias("main"), F.col("most.lead.node").alias("u"), F.col("most.lead.size").alias("size_u"), (F.col("n") - F.col("most.m")).alias("outside")), "open")
+        open_ = staged(open_.select("key", "n", F.col("most.root").alias("main"), F.col("most.lead.node").alias("u"), F.col("most.lead.size").alias("size_u"), F.col("most.lead.s1").alias("t1"), F.col("most.lead.s2").alias("t2"), (F.col("n") - F.col("most.m")).alias("outside")), "open")
         if open_.isEmpty():
             return comp
-        bucket = marked.join(open_.select("key"), "key", "left_semi").select("key", "node", "size")
+        bucket = marked.join(open_.select("key"), "key", "left_semi").select("key", "node", "size", "s1", "s2")
         outside = marked.join(open_, "key").where("root <> main")
+        apart = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
         fits = 100 * F.least("size", "size_u") >= percent * F.greatest("size", "size_u")
-        if light:  # a node outside the main component of its buckets meets one node inside
-            pick = F.min_by("u", F.xxhash64("u", F.lit(turn))).alias("u")
+        if light:  # a node outside the main component of its buckets meets the likest of the nodes that stand for them
+            pick = F.min_by("u", F.struct(apart.alias("a"), F.xxhash64("u", F.lit(turn)).alias("o"))).alias("u")
             pairs = outside.where(fits).groupBy(F.col("node").alias("v")).agg(pick).select("u", "v")
+            if tested is not None:
+                pairs = pairs.select("u", "v", *both).join(tested.select(*both).distinct(), ["a", "b"], "left_anti").select("u", "v")
+            more = staged(confirm(staged(pairs, "pairs"), sets, percent), "tested")
+            tested = more if tested is None else tested.unionByName(more)
         else:  # all of them in a small bucket, else a share by hash order, meet all nodes of other components
             share = F.greatest(F.lit(1.0), F.col("outside") / leaders)
-            lead = outside.where((F.col("n") <= SMALL) | (F.pmod(F.xxhash64("node", "key", F.lit(leaders)), F.lit(1 << 20)) * share <= F.lit(1 << 20)))
-            lead = staged(lead.select("key", F.col("node").alias("u"), F.col("root").alias("root_u"), F.col("size").alias("size_u")), "lead")
+            lead = outside.select("key", "node", "root", "main", "n", "outside").where((F.col("n") <= SMALL) | (F.pmod(F.xxhash64("node", "key", F.lit(leaders)), F.lit(1 << 20)) * share <= F.lit(1 << 20)))
+            lead = staged(lead.select("key", F.col("node").alias("u"), F.col("root").alias("root_u"), "main"), "lead")
             leaders *= 4
-            pairs = marked.join(lead, "key").where("root <> root_u").where(fits).select("u", F.col("node").alias("v")).distinct()
-            pairs = pairs.groupBy(*both).agg(F.min("u").alias("u")).select("u", F.when(F.col("u") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("v"))
+            more = staged(confirm_blocks(marked, lead, sets, percent), "tested")
             bucket = staged(bucket.join(lead.select("key", F.col("u").alias("node")), ["key", "node"], "left_anti"), "buckets")
-        if tested is not None:
-            pairs = pairs.select("u", "v", *both).join(tested.select(*both).distinct(), ["a", "b"], "left_anti").select("u", "v")
-        more = staged(confirm(staged(pairs, "pairs"), sets, percent), "tested")
-        tested = more if tested is None else tested.unionByName(more)
         n = more.agg(F.count(F.lit(1)).alias("all"), F.count_if("linked").alias("linked")).first()
-        light = light and n["linked"] >= PRODUCTIVE * n["all"] > 0
+        light = light and n["linked"] >= PRODUCTIVE * n["all"] > 0  # `more` holds links only in later rounds
         if not n["linked"]:
             continue
         joined = more.where("linked").select("u", "v")
@@ -240,7 +302,7 @@ def near_duplicates(docs: DataFrame, k: int, percent: int = 80, halves: int = HA
     hashes = Hashes(halves, rows)
     sketch = staged(sketches(docs, k, hashes), "sketches")
     usable = sketch.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
-    nodes = staged(usable.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("size"), F.min("halves").alias("halves")), "nodes")
+    nodes = staged(usable.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("size"), F.min("s1").alias("s1"), F.min("s2").alias("s2"), F.min("halves").alias("halves")), "nodes")
     comp = links(docs, nodes, k, percent, hashes)
     label = nodes.join(comp, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     label = staged(label, "labels")
