@@ -12,11 +12,11 @@ Texts with equal sets are one node. Within a bucket no two nodes need all be
 compared. While rounds are productive, each node outside the largest component
 of its buckets meets the one node inside that its minhash bits are likest to;
 links join components, and that settles groups of near copies with about as
-many comparisons as they have members a round. Then nodes outside lead, four
-times as many from round to round: in blocks of leaders they meet the nodes of
-their buckets' other components, each of which is sent once to a block. A
-bucket is done when it is one component or each of its nodes outside the
-largest one has led; no bucket is capped, and every comparison is exact.
+many comparisons as they have members a round. Then nodes outside lead, more of
+them from round to round: in blocks of leaders they meet the nodes of
+their buckets' other components, each of which is sent once to a block. The
+last round is the one in which all of them lead; no bucket is capped, and
+every comparison is exact.
 
 Rows: null and empty texts and texts without words have an empty set and stay
 alone; a single word is its own shingle; rows with a null doc_id keep a null
@@ -37,7 +37,7 @@ from tidewright.llm.textunits import lower_ascii, mix, rolling, slices, word_cod
 
 HALVES = 18
 ROWS = 4
-LEADERS = 8
+LEADERS = 64
 PRODUCTIVE = 0.25
 BITS = 128
 LED = 256
@@ -255,7 +255,7 @@ def links(docs: DataFrame, nodes: DataFrame, k: int, percent: int, hashes: Hashe
     suspects = bucket.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
     sets = staged(node_sets(docs, staged(suspects, "suspects"), k), "sets")
     comp = staged(bucket.select("node", F.col("node").alias("root")).limit(0), "components")
-    tested, light, turn, leaders = None, True, 0, LEADERS
+    tested, light, last, turn, leaders = None, True, False, 0, LEADERS
     both = (F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
     while True:
         turn += 1
@@ -276,17 +276,16 @@ def links(docs: DataFrame, nodes: DataFrame, k: int, percent: int, hashes: Hashe
                 pairs = pairs.select("u", "v", *both).join(tested.select(*both).distinct(), ["a", "b"], "left_anti").select("u", "v")
             more = staged(confirm(staged(pairs, "pairs"), sets, percent), "tested")
             tested = more if tested is None else tested.unionByName(more)
-        else:  # all of them in a small bucket, else a share by hash order, meet all nodes of other components
-            share = F.greatest(F.lit(1.0), F.col("outside") / leaders)
-            lead = outside.select("key", "node", "root", "main", "n", "outside").where((F.col("n") <= SMALL) | (F.pmod(F.xxhash64("node", "key", F.lit(leaders)), F.lit(1 << 20)) * share <= F.lit(1 << 20)))
+        else:  # all of them in a small bucket, else a growing share by hash order, meet all nodes of other components
+            share = F.when(F.col("n") <= SMALL, 1.0).otherwise(F.greatest(F.lit(1.0), F.col("outside") / leaders))
+            last = open_.where(share > 1).limit(1).isEmpty()  # then every node outside leads, and all that can be linked is
+            lead = outside.select("key", "node", "root", "main", "n", "outside").where(F.pmod(F.xxhash64("node", "key"), F.lit(1 << 20)) * share <= F.lit(1 << 20))
             lead = staged(lead.select("key", F.col("node").alias("u"), F.col("root").alias("root_u"), "main"), "lead")
-            leaders *= 4
             more = staged(confirm_blocks(marked, lead, sets, percent), "tested")
-            bucket = staged(bucket.join(lead.select("key", F.col("u").alias("node")), ["key", "node"], "left_anti"), "buckets")
         n = more.agg(F.count(F.lit(1)).alias("all"), F.count_if("linked").alias("linked")).first()
+        if not light:  # what links nothing any more may as well be done at once
+            leaders = 16 * leaders if n["linked"] else 1 << 40
         light = light and n["linked"] >= PRODUCTIVE * n["all"] > 0  # `more` holds links only in later rounds
-        if not n["linked"]:
-            continue
         joined = more.where("linked").select("u", "v")
         for c in ("u", "v"):  # links between components, by their roots
             joined = joined.join(comp.select(F.col("node").alias(c), "root"), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
@@ -294,6 +293,8 @@ def links(docs: DataFrame, nodes: DataFrame, k: int, percent: int, hashes: Hashe
         old = comp.join(up.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
         new = up.join(comp.select("node"), "node", "left_anti").select("node", F.col("top").alias("root"))
         comp = staged(old.unionByName(new), "components")
+        if last:
+            return comp
 
 
 def near_duplicates(docs: DataFrame, k: int, percent: int = 80, halves: int = HALVES, rows: int = ROWS) -> DataFrame:
