@@ -259,7 +259,10 @@ def links(docs: DataFrame, nodes: DataFrame, k: int, percent: int, hashes: Hashe
     both = (F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
     while True:
         turn += 1
-        marked = staged(bucket.join(comp, "node", "left").select("key", "node", "size", "s1", "s2", F.coalesce("root", "node").alias("root")), "marked")
+        if turn == 1:  # every node is a component of its own
+            marked = bucket.withColumn("root", F.col("node"))
+        else:
+            marked = staged(bucket.join(comp, "node", "left").select("key", "node", "size", "s1", "s2", F.coalesce("root", "node").alias("root")), "marked")
         held = marked.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "size", "s1", "s2")).alias("lead"))
         open_ = held.groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "root", "lead")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
         open_ = staged(open_.select("key", "n", F.col("most.root").alias("main"), F.col("most.lead.node").alias("u"), F.col("most.lead.size").alias("size_u"), F.col("most.lead.s1").alias("t1"), F.col("most.lead.s2").alias("t2"), (F.col("n") - F.col("most.m")).alias("outside")), "open")
