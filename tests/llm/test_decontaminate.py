@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+import pytest
+
 from tests.llm.helpers import ODD_TEXTS, SCHEMA, docs_frame
 from tidewright.llm import decontaminate as dc
 from tidewright.llm.common import documents
@@ -88,3 +91,38 @@ def test_bit_parallel_distance():
         block = dc.Block([0], [" ".join(item)])
         codes = dict(zip(item, block.codes[0].tolist()))
         assert block.distance(0, [codes.get(c, 1) for c in text])[0] == best_edits(item, text)
+
+
+def found_pairs(items, texts):
+    """(text, item) pairs that the search finds, with their edits."""
+    raw = [t.encode() for t in texts]
+    code, first = dc.units(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    return {x: e for x, (e, _) in dc.Block(list(range(len(items))), items).search(code, first).items()}
+
+
+@pytest.mark.parametrize("n", [5, 6, 8, 12, 15, 20, 57, 100, 160, 240, 400])
+def test_every_passage_with_the_most_edits_is_found(n):
+    rng = random.Random(n)
+    items = [[f"i{t}x{j}" for j in range(n)] for t in range(40)]
+    texts = []
+    for t, item in enumerate(items):
+        w = list(item)
+        for at in rng.sample(range(n), n // 5):
+            w[at] = f"o{at}"
+        texts.append(" ".join([*(f"b{j}" for j in range(rng.randrange(30))), *w, "end"]))
+    got = found_pairs([" ".join(x) for x in items], texts)
+    assert got == {(t, t): n // 5 for t in range(40)}
+
+
+def test_search_equals_brute_force():
+    rng = random.Random(5)
+    items = [[rng.choice("abcdefgh") for _ in range(n)] for n in range(1, 41)]
+    texts = []
+    for t in range(120):
+        w = list(items[t % 40])
+        for _ in range(rng.randrange(len(w) // 5 + 2)):
+            at, kind = rng.randrange(len(w) + 1), rng.randrange(3)
+            w[at: at + 1] = [[rng.choice("abcxyz")], [], [rng.choice("abcxyz"), *w[at: at + 1]]][kind]
+        texts.append([rng.choice("abcx") for _ in range(rng.randrange(9))] + w + [rng.choice("abcx") for _ in range(rng.randrange(9))])
+    want = {(t, k): e for t, x in enumerate(texts) for k, i in enumerate(items) if (e := best_edits(i, x)) <= len(i) // 5}
+    assert found_pairs([" ".join(i) for i in items], [" ".join(x) + "\n" for x in texts]) == want

@@ -1,16 +1,17 @@
-"""Benchmark decontamination by CGK embedding and repeated bit sampling.
+"""Benchmark decontamination by CGK embedding and sampled steps.
 
 Texts are read as lower-case runs of letters and digits. The embedding walks a
-window of words: at step j it emits the word it stands on and moves on if a
-random bit of (j, word) says so, which maps edit distance to Hamming distance.
-Each table samples a few coordinates of a walk; windows of about an item's
-size, at a stride of half of it, meet items at all shifts below the stride in
-tables whose keys agree. ``WALKS`` walks with ``TABLES`` samples each are
-repeated until near matches are found at the target recall (see the tests).
-Every candidate is then verified by the exact edit distance of the whole item
-to the best-fitting stretch of the text (bit-parallel dynamic programming).
-Windows with fewer than ``VOCABULARY`` of their words in the benchmark are
-passed over: at most a fifth of an item's words may differ.
+run of words: at step j it emits the word it stands on and moves on if a random
+bit of (j, word) says so; the steps of a walk make a key, equal for equal runs.
+No match is left to chance: an item of n words at e edits keeps at least
+``n + 1 - q * (e + 1)`` of its runs of q words, wherever the edits are, each at
+a place of its own in the text. q is the longest run up to ``RUN`` for which
+that is at least one. All runs of an item are in the table, all runs of a text
+are looked up, and a stretch with that many of an item's runs is verified by
+the exact edit distance of the whole item to the best-fitting stretch
+(bit-parallel dynamic programming). Runs with a word outside the benchmark are
+passed over, as no item has them. So every match within the allowed edits is
+found; see ``run_of``.
 
 The benchmark is the query set: it is read in blocks of about ``BLOCK`` items,
 each held by every task, against all documents.
@@ -34,10 +35,8 @@ from tidewright.llm.textunits import lower_ascii, mix, slices, word_codes
 
 U = np.uint64
 BLOCK = 20_000
-WALKS = 10
-TABLES = 4
-SAMPLES = 8
-VOCABULARY = 0.7
+RUN = 4
+STEPS = 3
 PERCENT = 80
 _BREAK = np.ones(256, bool)
 _BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -62,55 +61,41 @@ def units(data: np.ndarray, off: np.ndarray):
     return word_codes(low, starts, ends), np.searchsorted(starts, off)
 
 
-def window_of(n: int) -> tuple[int, int]:
-    """Window and stride for items of n words: all shifts below the stride fit the item."""
-    if n < 7:
-        return n, 1
-    if n < 15:
-        return 5, 2
-    w = 10
-    while n - w + 1 >= 2 * w:
-        w *= 2
-    return w, w // 2
-
-
 def edits_allowed(n: int, percent: int = PERCENT) -> int:
     return n * (100 - percent) // 100
 
 
+def run_of(n: int, percent: int = PERCENT) -> tuple[int, int]:
+    """(q, t): any stretch within the allowed edits of an item of n words has at least t of the item's runs of q words."""
+    e = edits_allowed(n, percent)
+    q = max(1, min(RUN, n // (e + 1)))
+    return q, max(1, n + 1 - q * (e + 1))
+
+
 class Walk:
-    """One random walk with its tables' sampled steps, for one window length."""
-
-    def __init__(self, seed: int, window: int):
-        rng = np.random.default_rng([seed, window])
-        self.seed = mix(np.array([seed + 1], np.uint64))[0]
-        self.steps = 2 * window
-        self.samples = []
-        for _ in range(TABLES):
-            span = max(min(self.steps, SAMPLES), self.steps // 3)  # neighbours on a walk agree together
-            start = rng.integers(0, self.steps - span + 1)
-            self.samples.append(np.sort(rng.choice(span, min(SAMPLES, span), replace=False)) + start)
-
-    def keys(self, code: np.ndarray, pos: np.ndarray, window: int) -> np.ndarray:
-        """(tables, windows) keys of the windows that start at ``pos``."""
+    """A random walk over runs of one length."""
+
+    def __init__(self, run: int):
+        self.run = run
+        self.seed = mix(np.array([run], np.uint64))[0]
+
+    def keys(self, code: np.ndarray, pos: np.ndarray) -> np.ndarray:
+        """Keys of the runs that start at ``pos``."""
         m = mix(code ^ self.seed)
-        cur, end = pos.copy(), pos + window
-        last = max(int(s[-1]) for s in self.samples)
-        out = np.zeros((len(self.samples), len(pos)), np.uint64)
-        for j in range(last + 1):
-            inside = cur < end
-            x = np.where(inside, m[np.minimum(cur, len(m) - 1)], _PAD)
-            for t, s in enumerate(self.samples):
-                if j in s:
-                    out[t] = (out[t] ^ x) * U(0x9E3779B97F4A7C15) + U(j)
+        cur, end = pos.copy(), pos + self.run
+        out = np.zeros(len(pos), np.uint64)
+        for j in range(STEPS * self.run if self.run > 1 else 1):
+            x = np.where(cur < end, m[np.minimum(cur, len(m) - 1)], _PAD)
+            out = (out ^ x) * U(0x9E3779B97F4A7C15) + U(j)
             cur += ((x >> U(j & 63)) & U(1)).astype(np.int64)
-        return mix(out.reshape(-1)).reshape(out.shape)
+        return mix(out)
 
 
 class Block:
-    """Items with their tables."""
+    """Items with their tables, for matches of at least ``percent``."""
 
-    def __init__(self, ids: list, texts: list[str]):
+    def __init__(self, ids: list, texts: list[str], percent: int = PERCENT):
+        self.percent = percent
         self.ids, self.codes = [], []
         for i, t in zip(ids, texts):
             raw = np.frombuffer((t or "").encode(), np.uint8)
@@ -121,27 +106,25 @@ class Block:
         self.vocabulary = np.unique(np.concatenate([*self.codes, np.zeros(0, np.uint64)]))
         self.words = np.zeros(1 << 20, bool)
         self.words[(self.vocabulary >> U(44)).astype(np.int64)] = True
-        self.classes: dict[tuple[int, int], list] = {}
-        members: dict[tuple[int, int], list[int]] = {}
+        self.least = np.array([run_of(len(c), percent)[1] for c in self.codes], np.int64)
+        self.tables: list[tuple] = []
+        members: dict[int, list[int]] = {}
         for k, code in enumerate(self.codes):
-            members.setdefault(window_of(len(code)), []).append(k)
-        for (w, s), items in members.items():
-            flat = np.concatenate([self.codes[k] for k in items])
+            members.setdefault(run_of(len(code), percent)[0], []).append(k)
+        for q, items in members.items():
+            walk, flat = Walk(q), np.concatenate([self.codes[k] for k in items])
             base = np.cumsum([0, *(len(self.codes[k]) for k in items)])
-            pos = np.concatenate([base[i] + np.arange(min(s, len(self.codes[k]) - w + 1)) for i, k in enumerate(items)])
-            owner = np.concatenate([np.full(min(s, len(self.codes[k]) - w + 1), k) for k in items])
-            shift = pos - base[:-1][np.repeat(np.arange(len(items)), [min(s, len(self.codes[k]) - w + 1) for k in items])]
-            tables = []
-            for r in range(WALKS):
-                walk = Walk(r, w)
-                sides = []
-                for key in walk.keys(flat, pos, w):
-                    order = np.argsort(key, kind="stable")
-                    bits = np.zeros(1 << _BITMAP, bool)
-                    bits[(key >> U(64 - _BITMAP)).astype(np.int64)] = True
-                    sides.append((key[order], owner[order], shift[order], bits))
-                tables.append((walk, sides))
-            self.classes[w, s] = tables
+            pos = np.concatenate([base[i] + np.arange(len(self.codes[k]) - q + 1) for i, k in enumerate(items)])
+            owner = np.repeat(items, [len(self.codes[k]) - q + 1 for k in items])
+            key = walk.keys(flat, pos)
+            order = np.lexsort((owner, key))
+            key, owner = key[order], owner[order]
+            new = np.ones(len(key), bool)  # an item's equal runs count once at a place of the text
+            new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+            key, owner = key[new], owner[new]
+            bits = np.zeros(1 << _BITMAP, bool)
+            bits[(key >> U(64 - _BITMAP)).astype(np.int64)] = True
+            self.tables.append((walk, key, owner, bits))
         self.masks: dict[int, dict[int, int]] = {}
 
     def distance(self, k: int, text: list[int]) -> tuple[int, int]:
@@ -173,50 +156,57 @@ class Block:
         order = np.argsort(item, kind="stable")
         cuts = np.flatnonzero(np.diff(item[order], prepend=-1, append=-1))
         for a, b in zip(cuts, cuts[1:]):
-            for c in range(a, b, 20_000):
-                some = order[c: min(b, c + 20_000)]
+            at_once = max(1, 2_000_000 // int(size[order[a:b]].max()))
+            for c in range(a, b, at_once):
+                some = order[c: min(b, c + at_once)]
                 steps = np.arange(int(size[some].max()))
                 inside = steps < size[some][:, None]
                 word = code[np.where(inside, at[some][:, None] + steps, 0)]
                 out[some] = (np.isin(word, self.codes[item[some[0]]]) & inside).sum(axis=1) >= need[some]
         return out
 
-    def search(self, code: np.ndarray, first: np.ndarray, percent: int) -> dict[tuple[int, int], tuple[int, int]]:
+    def search(self, code: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
         """(row, item) -> (edits, end word) of the rows' best matches."""
         found: dict[tuple[int, int], tuple[int, int]] = {}
         if not len(code) or not self.codes:
             return found
         known = np.concatenate([[0], np.cumsum(self.words[(code >> U(44)).astype(np.int64)])])
         size = np.diff(first)
-        rows_, items_, starts_ = [], [], []
-        for (w, s), tables in self.classes.items():
-            n = np.maximum(0, (size - w) // s + 1) * (size >= w)
-            row = np.repeat(np.arange(len(size)), n)
-            pos = first[row] + (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * s
-            enough = known[pos + w] - known[pos] >= math.ceil(VOCABULARY * w)
-            row, pos = row[enough], pos[enough]
+        words = np.array([len(c) for c in self.codes])
+        edits = words * (100 - self.percent) // 100
+        row_of = np.repeat(np.arange(len(size)), size)
+        rows_, items_, lo_, hi_ = [], [], [], []
+        for walk, keys, owner, bits in self.tables:
+            q = walk.run
+            pos = np.arange(max(0, len(code) - q + 1))
+            pos = pos[(known[pos + q] - known[pos] == q) & (row_of[pos] == row_of[pos + q - 1])]
             if not len(pos):
                 continue
-            for walk, sides in tables:
-                for key, (keys, owner, shift, bits) in zip(walk.keys(code, pos, w), sides):
-                    hit = np.flatnonzero(bits[(key >> U(64 - _BITMAP)).astype(np.int64)])
-                    a, b = np.searchsorted(keys, key[hit], "left"), np.searchsorted(keys, key[hit], "right")
-                    which = np.repeat(np.arange(len(hit)), b - a)
-                    at = np.arange(len(which)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + a[which]
-                    rows_.append(row[hit][which])
-                    items_.append(owner[at])
-                    starts_.append(pos[hit][which] - shift[at] - first[row[hit][which]])
+            key = walk.keys(code, pos)
+            hit = np.flatnonzero(bits[(key >> U(64 - _BITMAP)).astype(np.int64)])
+            a, b = np.searchsorted(keys, key[hit], "left"), np.searchsorted(keys, key[hit], "right")
+            which = np.repeat(np.arange(len(hit)), b - a)
+            k = owner[np.arange(len(which)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + a[which]]
+            p = pos[hit[which]]
+            order = np.argsort(k, kind="stable")  # places of an item in the order of the text
+            k, p = k[order], p[order]
+            last = np.arange(len(k)) + self.least[k] - 1
+            inside = np.flatnonzero(last < len(k))
+            last = last[inside]
+            k, p, z, same = k[inside], p[inside], p[last], k[last] == k[inside]
+            r, reach = row_of[p], words[k] + edits[k]
+            near = same & (row_of[z] == r) & (z + q - p <= reach)
+            r, k, p, z, reach = r[near], k[near], p[near], z[near], reach[near]
+            rows_.append(r)
+            items_.append(k)
+            lo_.append(np.maximum(0, z + q - reach - first[r]))
+            hi_.append(np.minimum(size[r], p + reach - first[r]))
         if not rows_:
             return found
-        r, k, start = np.concatenate(rows_), np.concatenate(items_), np.concatenate(starts_)
-        order = np.lexsort((start, k, r))
-        r, k, start = r[order], k[order], start[order]
-        new = np.ones(len(r), bool)
-        new[1:] = (r[1:] != r[:-1]) | (k[1:] != k[:-1]) | (start[1:] != start[:-1])
-        r, k, start = r[new], k[new], start[new]
-        n = np.array([len(c) for c in self.codes])[k]
-        most = n * (100 - percent) // 100
-        lo, hi = np.maximum(0, start - most), np.minimum(size[r], start + n + most)
+        r, k, lo, hi = (np.concatenate(x) for x in (rows_, items_, lo_, hi_))
+        order = np.lexsort((lo, k, r))
+        r, k, lo, hi = r[order], k[order], lo[order], hi[order]
+        n, most = words[k], edits[k]
         ok = self.enough_words(code, first[r] + lo, hi - lo, k, n - most)
         spans: list[list[int]] = []  # stretches that hold candidates of one row and item, joined where they overlap
         for x in zip(r[ok].tolist(), k[ok].tolist(), lo[ok].tolist(), hi[ok].tolist()):
@@ -225,20 +215,20 @@ class Block:
             else:
                 spans.append(list(x))
         for r, k, lo, hi in spans:
-            edits, end = self.distance(k, code[first[r] + lo: first[r] + hi].tolist())
-            if edits <= edits_allowed(len(self.codes[k]), percent) and ((r, k) not in found or edits < found[r, k][0]):
-                found[r, k] = (edits, lo + end)
+            least, end = self.distance(k, code[first[r] + lo: first[r] + hi].tolist())
+            if least <= edits_allowed(len(self.codes[k]), self.percent) and ((r, k) not in found or least < found[r, k][0]):
+                found[r, k] = (least, lo + end)
         return found
 
 
-def _blocks(benchmark: DataFrame, block: int):
+def _blocks(benchmark: DataFrame, percent: int, block: int):
     """The benchmark in blocks of about ``block`` items, by hash of its id and text."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     n = max(1, math.ceil(items.count() / block))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
     for i in range(n):
         rows = sorted(items.where(part == i).collect(), key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"] or ""))
-        yield Block([r["item_id"] for r in rows], [r["text"] for r in rows])
+        yield Block([r["item_id"] for r in rows], [r["text"] for r in rows], percent)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -247,7 +237,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
     prepare(spark)
     schema = "doc_id long, item_id long, item_words long, edits long, end_word long"
     out = None
-    for items in _blocks(benchmark, block):
+    for items in _blocks(benchmark, percent, block):
         shared = spark.sparkContext.broadcast(items)  # a block's items and tables
 
         def run(batches, shared=shared):
@@ -255,7 +245,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
 
             for rows, data, off in slices(batches, "text"):
                 code, first = units(data, off)
-                got = shared.value.search(code, first, percent)
+                got = shared.value.search(code, first)
                 if got:
                     ids = rows.column(0).to_pylist()
                     table = [(ids[r], shared.value.ids[k], len(shared.value.codes[k]), e, end) for (r, k), (e, end) in sorted(got.items())]
@@ -271,7 +261,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERC
     """``docs`` without the rows in whose text an item is found, with all their columns as they are."""
     spark = docs.sparkSession
     prepare(spark)
-    for items in _blocks(benchmark, block):
+    for items in _blocks(benchmark, percent, block):
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches, shared=shared):
@@ -280,7 +270,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERC
             for rows, data, off in slices(batches, "text"):
                 code, first = units(data, off)
                 keep = np.ones(rows.num_rows, bool)
-                keep[[r for r, _ in shared.value.search(code, first, percent)]] = False
+                keep[[r for r, _ in shared.value.search(code, first)]] = False
                 yield rows.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
