@@ -126,3 +126,17 @@ def test_search_equals_brute_force():
         texts.append([rng.choice("abcx") for _ in range(rng.randrange(9))] + w + [rng.choice("abcx") for _ in range(rng.randrange(9))])
     want = {(t, k): e for t, x in enumerate(texts) for k, i in enumerate(items) if (e := best_edits(i, x)) <= len(i) // 5}
     assert found_pairs([" ".join(i) for i in items], [" ".join(x) + "\n" for x in texts]) == want
+
+
+@pytest.mark.parametrize("n", [12, 20, 57, 100, 400])
+def test_edits_close_together_by_words_outside_the_benchmark(n):
+    rng = random.Random(n)
+    items = [[f"i{t}x{j}" for j in range(n)] for t in range(60)]
+    texts, e = [], n // 5
+    for t, item in enumerate(items):
+        w, near = list(item), min(n, e + e // 2 + 1)
+        start = t % 3 * (n - near) // 2  # front, middle and end
+        for at in rng.sample(range(start, start + near), e):
+            w[at] = f"o{at}"
+        texts.append(" ".join([*(f"b{j}" for j in range(rng.randrange(30))), *w, "end"]))
+    assert found_pairs([" ".join(x) for x in items], texts) == {(t, t): e for t in range(60)}
