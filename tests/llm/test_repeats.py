@@ -104,6 +104,17 @@ def test_patched_texts(spark, monkeypatch, group):
     same(as_bytes(suffix_sort.dedup_bytes(docs_frame(spark, chars), 20, 7)), brute_bytes(list(enumerate(chars)), 20))
 
 
+def test_contexts_whose_codes_agree_in_40_bits(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "SLICE", 60)
+    start = "uolqhfqsxctvwjzdwqnxcnwrswhnbgkrqwlebtfqnhaucflcib"
+    texts = [start + x for x in ("frmsdkilnwbesdjqerhrpelypa", "xeopicufgtftptfmfmkuswgwak")]
+    code, first, _, _ = repeats.Kind("byte", 50, 24).units(np.frombuffer("".join(texts).encode(), np.uint8), np.array([0, 76, 152]))
+    occ = repeats.Occurrences(repeats.Kind("byte", 50, 24), code, first, np.zeros(2, bool))
+    a, b = occ.context[np.flatnonzero(np.isin(occ.at, [26, 102]))].tolist()
+    assert a != b and a % 2**40 == b % 2**40
+    same(as_bytes(suffix_sort.dedup_bytes(docs_frame(spark, texts))), brute_bytes(list(enumerate(texts)), 50))
+
+
 def test_odd_rows(spark):
     texts = [*ODD_TEXTS, *ODD_TEXTS, "word " * 60]
     docs = docs_frame(spark, texts)

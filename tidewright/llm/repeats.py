@@ -24,7 +24,11 @@ shared folder, and only codes, requests and answers move.
    as above.
 5. *Answers* meet the slices again, where whole texts are rewritten.
 
-Codes are 64-bit; contexts that meet in a group are compared unit by unit.
+Anchor codes travel as 40 bits: anchors of one such code only meet, and their
+contexts are told apart. Context codes are whole, 64 bits: equal codes count as
+equal contexts, of which one is fetched; so do equal 64-bit codes of a single
+stretch, where even that has more than ``GROUP`` contexts. Different contexts
+that meet in a group are compared unit by unit.
 """
 
 from __future__ import annotations
@@ -214,7 +218,7 @@ def heads(index: DataFrame, kind: Kind, buckets: int) -> DataFrame:
             bits = 15 if len(used) < 1 << 15 else 31
             flagged = (doc_at | (high[at] > low[at]).astype(np.int64) << bits).astype(np.uint64)
             parts = [np.array([len(at), len(used), wide], "<u4").tobytes(), table[used].astype("<i8").tobytes()]
-            parts += [_low_bytes(key[at], 5), _low_bytes(ctx[at], 5), _low_bytes(place[at].astype(np.uint64), wide), _low_bytes(flagged, (bits + 1) // 8)]
+            parts += [_low_bytes(key[at], 5), _low_bytes(ctx[at], 8), _low_bytes(place[at].astype(np.uint64), wide), _low_bytes(flagged, (bits + 1) // 8)]
             rows.append((b, slice_, b"".join(parts)))
         other = np.ones(len(occ.order), bool)
         other[occ.starts] = False
@@ -241,7 +245,7 @@ def parse_heads(raw):
     n, m, wide = np.frombuffer(raw, "<u4", 3).tolist()
     table = np.frombuffer(raw, "<i8", m, 12)
     bits, at, out = 15 if m < 1 << 15 else 31, 12 + 8 * m, []
-    for size in (5, 5, wide, (bits + 1) // 8):
+    for size in (5, 8, wide, (bits + 1) // 8):
         out.append(_from_low(raw, at, n, size))
         at += size * n
     key, ctx, place, doc = out
