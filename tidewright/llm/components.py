@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import staged
+from tidewright.llm.common import release, staged
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -25,11 +25,12 @@ def components(edges: DataFrame) -> DataFrame:
     now = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     while not _stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = staged(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
-        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = staged(large.unionByName(now.join(low, "u").where("m = v").select("u", "v")).distinct(), "large")
+        least = staged(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
+        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = staged(large.unionByName(now.join(least, "u").where("m = v").select("u", "v")).distinct(), "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))  # a node has few neighbours below itself by now
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = staged(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        old, now = now, staged(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        release(least, large, old)
     roots = now.select("v").distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))

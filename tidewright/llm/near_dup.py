@@ -3,20 +3,21 @@
 Two small collections of half keys (``HALVES`` each, of ``ROWS`` minhashes)
 stand for ``HALVES ** 2`` tables: a table's key is a pair of half keys, one of
 either collection, so 2 * HALVES * ROWS minhashes serve as many tables as
-HALVES ** 2 * 2 * ROWS would without the pairing. A text is spread over its
-tables only where both halves meet another text. At similarity 0.8 a pair is
+HALVES ** 2 * 2 * ROWS would without the pairing. At similarity 0.8 a pair is
 missed if no half of one side agrees, at most 2 * (1 - 0.8 ** ROWS) ** HALVES
 = 1.5e-4; at 0.85 it is 4e-6.
 
-Texts with equal sets are one node. Within a bucket no two nodes need all be
-compared. While rounds are productive, each node outside the largest component
-of its buckets meets the one node inside that its minhash bits are likest to;
-links join components, and that settles groups of near copies with about as
-many comparisons as they have members a round. Then nodes outside lead, more of
-them from round to round: in blocks of leaders they meet the nodes of
-their buckets' other components, each of which is sent once to a block. The
-last round is the one in which all of them lead; no bucket is capped, and
-every comparison is exact.
+Texts with equal sets are one node. Pairs of half keys are formed late and of
+few nodes. While rounds are productive, each node outside the largest
+component of the buckets of its half keys meets the one node inside that its
+minhash bits are likest to; links join components, and that settles groups of
+near copies with about as many comparisons as they have members a round. Only
+half keys that then still meet another component, on both sides of a node, are
+paired to table keys. In each table bucket all nodes outside its largest
+component lead (where they are very many, a growing share of them, round by
+round): in blocks of leaders they meet the nodes of their buckets' other
+components, each of which is sent once to a block. No bucket is capped, and
+every comparison is of whole sets of 64-bit shingle codes.
 
 Rows: null and empty texts and texts without words have an empty set and stay
 alone; a single word is its own shingle; rows with a null doc_id keep a null
@@ -31,18 +32,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import documents, partitions, prepare, staged
+from tidewright.llm.common import documents, partitions, prepare, release, staged
 from tidewright.llm.components import components
 from tidewright.llm.textunits import lower_ascii, mix, rolling, slices, word_codes, words
 
 HALVES = 18
 ROWS = 4
-LEADERS = 64
+LEADERS = 1024
 PRODUCTIVE = 0.25
 BITS = 128
 LED = 256
 MEMBERS = 2000
-SMALL = 32
 CHUNK = 400
 _ALONE = np.uint64(0xA0761D6478BD642F)
 
@@ -119,31 +119,33 @@ def sketches(docs: DataFrame, k: int, hashes: Hashes) -> DataFrame:
 
 
 def node_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(node, shingles) of the texts that stand for ``nodes`` (node, doc_id); six bytes a shingle."""
+    """Staged (nid, shingles): the sets, eight bytes a shingle, of the texts that stand for ``nodes`` (nid, node, doc_id)."""
 
     def run(batches):
         import pyarrow as pa
 
         for rows, data, off in slices(batches, "text"):
-            want = rows.column(0).to_pylist()
+            want = rows.column(1).to_pylist()
             sets = list(shingle_sets(data, off, k))
             keep = [i for i, s in enumerate(sets) if len(s) and fingerprint(s) == want[i]]  # rows under one doc_id may differ
-            blobs = [np.ascontiguousarray(sets[i].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes() for i in keep]
-            yield pa.RecordBatch.from_arrays([pa.array([want[i] for i in keep], pa.binary()), pa.array(blobs, pa.binary())], names=["node", "shingles"])
+            blobs = [sets[i].astype("<u8").tobytes() for i in keep]
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(keep, pa.int64())), pa.array(blobs, pa.binary())], names=["nid", "shingles"])
 
     both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(nodes, "doc_id")
-    return both.select("node", "text").mapInArrow(run, "node binary, shingles binary")
+    sets = staged(both.select("nid", "node", "text").mapInArrow(run, "nid long, shingles binary"), "sets")
+    if sets.count() == nodes.count():
+        return sets
+    once = staged(sets.dropDuplicates(["nid"]), "sets")  # equal rows under one doc_id
+    release(sets)
+    return once
 
 
 def _codes(blob) -> np.ndarray:
-    raw = np.frombuffer(blob, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :6] = raw
-    return out.reshape(-1).view("<u8")
+    return np.frombuffer(blob, "<u8")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v, linked) for ``pairs`` (u leads, v): exact similarity of whole sets.
+    """Staged (u, v, linked) for staged ``pairs`` (u leads, v): exact similarity of whole sets.
 
     A leader's pairs go to chunks of about CHUNK, each with one copy of the
     leader's set, so no task gets a leader's whole group.
@@ -151,8 +153,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     spark = pairs.sparkSession
     leaders = staged(pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")), "leaders")
     member = pairs.join(leaders, "u").withColumn("chunk", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int"))
-    member = member.join(sets, member.v == sets.node).select("u", "chunk", "v", "shingles")
-    lead = leaders.join(sets, leaders.u == sets.node).select("u", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(None).cast("binary").alias("v"), "shingles")
+    member = member.join(sets, member.v == sets.nid).select("u", "chunk", "v", "shingles")
+    lead = leaders.join(sets, leaders.u == sets.nid).select("u", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(None).cast("long").alias("v"), "shingles")
 
     def run(batches):
         import pyarrow as pa
@@ -163,46 +165,64 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             for u, c, v, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
                 mine = _codes(blob.as_buffer())
                 if v is None:
-                    now, lead_set = (u, c), np.sort(mine)
+                    now, lead_set = (u, c), mine.copy()
                     continue
                 if now != (u, c):
                     raise ValueError("a pair came without its leader")
-                small, large = (mine, lead_set)
-                at = np.searchsorted(large, small)
-                same = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+                at = np.searchsorted(lead_set, mine)
+                same = int((lead_set[np.minimum(at, len(lead_set) - 1)] == mine).sum())
                 us.append(u)
                 vs.append(v)
                 ok.append(100 * same >= percent * (len(mine) + len(lead_set) - same))
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary()), pa.array(ok, pa.bool_())], names=["u", "v", "linked"])
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(ok, pa.bool_())], names=["u", "v", "linked"])
 
     both = member.unionByName(lead).repartition(partitions(spark), "u", "chunk").sortWithinPartitions("u", "chunk", F.col("v").asc_nulls_first())
-    return both.mapInArrow(run, "u binary, v binary, linked boolean")
+    out = staged(both.mapInArrow(run, "u long, v long, linked boolean"), "tested")
+    release(leaders)
+    return out
 
 
-def confirm_blocks(marked: DataFrame, lead: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links (u, v, linked) between leaders and the nodes of other components in their buckets.
+def _met(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sets' codes in one sorted row, the set of each, and the sets' sizes."""
+    size = np.array([len(x) for x in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(flat, kind="stable")
+    return flat[order], owner[order], size
 
-    Leaders of one main component are dealt into blocks of about ``LED``; a
-    node goes once to each block with which it shares a bucket, in chunks of
-    about ``MEMBERS``, and meets the block's leaders in one look-up of its
-    shingles among all of theirs. ``lead``: key, u, root_u, main.
+
+def confirm_blocks(table: DataFrame, lead: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Staged links (u, v) that join all that is linked among leaders and the nodes of other components in their buckets.
+
+    ``table``: key, nid, root; ``lead``: key, u, root, main, n (the bucket's
+    size). A leader belongs to the family of the main component of its largest
+    bucket. Leaders of a family are dealt into blocks of about ``LED``; a node
+    that shares a bucket with the family goes once to each of its blocks, in
+    chunks of about ``MEMBERS``, and meets the block's leaders in one look-up
+    of its shingles among all of theirs. Each chunk hands on as many links as
+    it takes to join its leaders and nodes, not all of them.
     """
-    spark = marked.sparkSession
-    each = lead.groupBy("u").agg(F.min("main").alias("family"), F.min("root_u").alias("root"))
-    count = each.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / LED).alias("blocks"))
-    each = staged(each.join(count, "family").select("u", "root", "family", F.pmod(F.xxhash64("u"), F.col("blocks")).alias("block")), "each")
-    where = staged(lead.select("key", "u").join(each, "u").select("key", "family", "block").distinct(), "blocks")
-    member = staged(marked.select("key", "node", "root").join(where, "key").select("family", "block", F.col("node").alias("v"), "root").distinct(), "members")
-    chunks = staged(member.groupBy("family", "block").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("chunks")), "chunks")
-    rows = member.join(chunks, ["family", "block"]).withColumn("chunk", F.pmod(F.xxhash64("v"), F.col("chunks")))
-    rows = rows.join(sets, rows.v == sets.node).select("family", "block", "chunk", F.lit(1).alias("side"), "v", "root", "shingles")
-    heads = each.join(chunks, ["family", "block"]).join(sets, each.u == sets.node)
-    heads = heads.select("family", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"), F.col("u").alias("v"), "root", "shingles")
+    spark = table.sparkSession
+    home = staged(lead.groupBy("u").agg(F.max_by("main", F.struct("n", "main")).alias("family"), F.min("root").alias("root")), "homes")
+    where = lead.select("key", "u").join(home.select("u", "family"), "u").select("key", "family").distinct()
+    member = staged(table.join(where, "key").select("family", F.col("nid").alias("v"), "root").distinct(), "members")
+    count = home.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / LED).alias("blocks"))
+    plan = staged(member.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("chunks")).join(count, "family"), "plan")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    rows = member.join(plan, "family").withColumn("chunk", F.pmod(F.xxhash64("v"), F.col("chunks"))).withColumn("block", each("blocks"))
+    rows = rows.join(sets, rows.v == sets.nid).select("family", "block", "chunk", F.lit(1).alias("side"), "v", "root", "shingles")
+    heads = home.join(plan, "family").withColumn("block", F.pmod(F.xxhash64("u"), F.col("blocks"))).withColumn("chunk", each("chunks"))
+    heads = heads.join(sets, heads.u == sets.nid).select("family", "block", "chunk", F.lit(0).alias("side"), F.col("u").alias("v"), "root", "shingles")
 
     def run(batches):
         import pyarrow as pa
 
-        now, us, roots, size, flat, owner = None, [], [], None, None, None
+        now, us, roots, held, flat, joined = None, [], [], [], None, []
+
+        def top(i):
+            while joined[i] != i:
+                i = joined[i]
+            return i
+
         for b in batches:
             out = []
             for fam, blk, chunk, side, v, root, blob in zip(*(c.to_pylist() for c in b.columns[:6]), b.column(6)):
@@ -212,92 +232,123 @@ def confirm_blocks(marked: DataFrame, lead: DataFrame, sets: DataFrame, percent:
                 if side == 0:
                     us.append(v)
                     roots.append(root)
-                    held.append(mine)
+                    held.append(mine.copy())
+                    continue
+                if not us:  # the hash dealt this block no leader
                     continue
                 if flat is None:
-                    size = np.array([len(h) for h in held])
-                    flat, owner = np.concatenate(held), np.repeat(np.arange(len(held)), size)
-                    order = np.argsort(flat, kind="stable")
-                    flat, owner = flat[order], owner[order]
+                    flat, owner, size = _met(held)
+                    joined = list(range(len(us)))
                 lo, hi = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
                 n = hi - lo
                 at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
                 same = np.bincount(owner[at], minlength=len(us))
+                first = None
                 for i in np.flatnonzero(100 * same >= percent * (len(mine) + size - same)).tolist():
-                    if roots[i] != root and us[i] != v:
-                        out.append((us[i], v, True))
+                    if roots[i] == root or us[i] == v:
+                        continue
+                    if first is None:
+                        first = i
+                        out.append((us[i], v))
+                    elif (x := top(first)) != (y := top(i)):
+                        joined[max(x, y)] = min(x, y)
+                        out.append((us[i], v))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.binary(), pa.bool_()))], names=["u", "v", "linked"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["u", "v"])
 
     both = heads.unionByName(rows).repartition(partitions(spark), "family", "block", "chunk").sortWithinPartitions("family", "block", "chunk", "side")
-    return both.mapInArrow(run, "u binary, v binary, linked boolean")
-
-
-def _buckets(nodes: DataFrame, halves: int) -> DataFrame:
-    """(key, node, size, s1, s2) of all tables' buckets with two nodes or more."""
-    flat = nodes.select("node", "size", "s1", "s2", F.posexplode("halves").alias("at", "half"))
-    often = staged(flat.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half"), "halves")
-    met = flat.join(often, "half")
-    sides = met.groupBy("node", "size", "s1", "s2").agg(*(F.collect_set(F.when(c, F.col("half"))).alias(x) for x, c in (("a", F.col("at") < halves), ("b", F.col("at") >= halves))))  # at most `halves` each
-    pairs = sides.select("node", "size", "s1", "s2", F.explode("a").alias("p"), "b").select("node", "size", "s1", "s2", "p", F.explode("b").alias("q"))
-    keyed = staged(pairs.select(F.xxhash64("p", "q").alias("key"), "node", "size", "s1", "s2"), "keys")
-    often = staged(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "tables")
-    return staged(keyed.join(often, "key"), "buckets")
+    out = staged(both.mapInArrow(run, "u long, v long"), "found")
+    release(home, member, plan)
+    return out
+
+
+def half_buckets(nodes: DataFrame, halves: int) -> DataFrame:
+    """Staged (half, side, nid, size, s1, s2): the half keys that two nodes or more have, of nodes with such a one on either side."""
+    flat = nodes.select("nid", F.posexplode("halves").alias("at", "half"))
+    shared = staged(flat.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half"), "shared")
+    met = staged(flat.join(shared, "half").select("half", "nid", (F.col("at") >= halves).alias("side")), "met")
+    both = met.groupBy("nid").agg(F.min("side").alias("a"), F.max("side").alias("b")).where("a <> b").select("nid")
+    out = staged(met.join(both.join(nodes.select("nid", "size", "s1", "s2"), "nid"), "nid"), "half-buckets")
+    release(shared, met)
+    return out
+
+
+def half_pairs(marked: DataFrame, turn: int, percent: int) -> DataFrame:
+    """(u, v): each node v outside the largest component of its half buckets, with the likest of the nodes u that stand for those components."""
+    held = marked.groupBy("half", "root").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("nid", F.lit(turn)).alias("o"), "nid", "size", "s1", "s2")).alias("lead"))
+    most = held.groupBy("half").agg(F.max(F.struct("m", "root", "lead")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    most = most.select("half", F.col("most.root").alias("main"), *(F.col(f"most.lead.{c}").alias(f"{c}_u") for c in ("nid", "size", "s1", "s2")))
+    fits = 100 * F.least("size", "size_u") >= percent * F.greatest("size", "size_u")
+    apart = F.bit_count(F.col("s1").bitwiseXOR(F.col("s1_u"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("s2_u")))
+    pick = F.min_by("nid_u", F.struct(apart.alias("a"), F.xxhash64("nid_u", F.lit(turn)).alias("o"))).alias("u")
+    return marked.join(most, "half").where("root <> main").where(fits).groupBy(F.col("nid").alias("v")).agg(pick).select("u", "v")
+
+
+def tables(marked: DataFrame) -> DataFrame:
+    """Staged (key, nid, root): the tables' keys, pairs of half keys of either side, both of which meet another component."""
+    met = marked.groupBy("half").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("half")
+    of = lambda c: F.collect_set(F.when(c, F.col("half")))  # noqa: E731  at most HALVES of them
+    sides = marked.join(met, "half", "left_semi").groupBy("nid", "root").agg(of(~F.col("side")).alias("a"), of(F.col("side")).alias("b"))
+    pairs = sides.select("nid", "root", F.explode("a").alias("p"), "b").select("nid", "root", "p", F.explode("b").alias("q"))
+    return staged(pairs.select(F.xxhash64("p", "q").alias("key"), "nid", "root"), "tables")
+
+
+def _marked(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    return rows.join(comp, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+
+
+def _joined(comp: DataFrame, found: DataFrame) -> DataFrame:
+    """``comp`` (nid, root) with the components that the links ``found`` (u, v) join."""
+    edges = found.select("u", "v")
+    for c in ("u", "v"):  # links between components, by their roots
+        edges = edges.join(comp.select(F.col("nid").alias(c), "root"), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
+    up = staged(components(edges).select(F.col("node").alias("nid"), F.col("root").alias("top")), "tops")
+    old = comp.join(up.withColumnRenamed("nid", "root"), "root", "left").select("nid", F.coalesce("top", "root").alias("root"))
+    new = up.join(comp.select("nid"), "nid", "left_anti").select("nid", F.col("top").alias("root"))
+    out = staged(old.unionByName(new), "components")
+    release(up, comp)
+    return out
 
 
 def links(docs: DataFrame, nodes: DataFrame, k: int, percent: int, hashes: Hashes) -> DataFrame:
-    """(node, root): the component of every node that is linked with another.
+    """Staged (nid, root): the component of every node that is linked with another.
 
-    ``nodes`` (node, doc_id, size, s1, s2, halves) has a row per distinct set.
+    ``nodes`` (nid, node, doc_id, size, s1, s2, halves) has a row per distinct set.
     """
     spark = docs.sparkSession
-    bucket = _buckets(nodes, hashes.halves)
-    suspects = bucket.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
-    sets = staged(node_sets(docs, staged(suspects, "suspects"), k), "sets")
-    comp = staged(bucket.select("node", F.col("node").alias("root")).limit(0), "components")
-    tested, light, last, turn, leaders = None, True, False, 0, LEADERS
-    both = (F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
-    while True:
+    half = half_buckets(nodes, hashes.halves)
+    suspects = staged(half.select("nid").distinct().join(nodes.select("nid", "node", "doc_id"), "nid"), "suspects")
+    sets = node_sets(docs, suspects, k)
+    comp = staged(spark.createDataFrame([], "nid long, root long"), "components")
+    turn, productive = 0, True
+    while productive:
         turn += 1
-        if turn == 1:  # every node is a component of its own
-            marked = bucket.withColumn("root", F.col("node"))
-        else:
-            marked = staged(bucket.join(comp, "node", "left").select("key", "node", "size", "s1", "s2", F.coalesce("root", "node").alias("root")), "marked")
-        held = marked.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "size", "s1", "s2")).alias("lead"))
-        open_ = held.groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "root", "lead")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-        open_ = staged(open_.select("key", "n", F.col("most.root").alias("main"), F.col("most.lead.node").alias("u"), F.col("most.lead.size").alias("size_u"), F.col("most.lead.s1").alias("t1"), F.col("most.lead.s2").alias("t2"), (F.col("n") - F.col("most.m")).alias("outside")), "open")
-        if open_.isEmpty():
-            return comp
-        bucket = marked.join(open_.select("key"), "key", "left_semi").select("key", "node", "size", "s1", "s2")
-        outside = marked.join(open_, "key").where("root <> main")
-        apart = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
-        fits = 100 * F.least("size", "size_u") >= percent * F.greatest("size", "size_u")
-        if light:  # a node outside the main component of its buckets meets the likest of the nodes that stand for them
-            pick = F.min_by("u", F.struct(apart.alias("a"), F.xxhash64("u", F.lit(turn)).alias("o"))).alias("u")
-            pairs = outside.where(fits).groupBy(F.col("node").alias("v")).agg(pick).select("u", "v")
-            if tested is not None:
-                pairs = pairs.select("u", "v", *both).join(tested.select(*both).distinct(), ["a", "b"], "left_anti").select("u", "v")
-            more = staged(confirm(staged(pairs, "pairs"), sets, percent), "tested")
-            tested = more if tested is None else tested.unionByName(more)
-        else:  # all of them in a small bucket, else a growing share by hash order, meet all nodes of other components
-            share = F.when(F.col("n") <= SMALL, 1.0).otherwise(F.greatest(F.lit(1.0), F.col("outside") / leaders))
-            last = open_.where(share > 1).limit(1).isEmpty()  # then every node outside leads, and all that can be linked is
-            lead = outside.select("key", "node", "root", "main", "n", "outside").where(F.pmod(F.xxhash64("node", "key"), F.lit(1 << 20)) * share <= F.lit(1 << 20))
-            lead = staged(lead.select("key", F.col("node").alias("u"), F.col("root").alias("root_u"), "main"), "lead")
-            more = staged(confirm_blocks(marked, lead, sets, percent), "tested")
-        n = more.agg(F.count(F.lit(1)).alias("all"), F.count_if("linked").alias("linked")).first()
-        if not light:  # what links nothing any more may as well be done at once
-            leaders = 16 * leaders if n["linked"] else 1 << 40
-        light = light and n["linked"] >= PRODUCTIVE * n["all"] > 0  # `more` holds links only in later rounds
-        joined = more.where("linked").select("u", "v")
-        for c in ("u", "v"):  # links between components, by their roots
-            joined = joined.join(comp.select(F.col("node").alias(c), "root"), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
-        up = staged(components(joined), "roots").withColumnRenamed("root", "top")
-        old = comp.join(up.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-        new = up.join(comp.select("node"), "node", "left_anti").select("node", F.col("top").alias("root"))
-        comp = staged(old.unionByName(new), "components")
-        if last:
-            return comp
+        marked = half.withColumn("root", F.col("nid")) if turn == 1 else staged(_marked(half, comp), "marked")
+        pairs = staged(half_pairs(marked, turn, percent), "pairs")
+        tested = confirm(pairs, sets, percent)
+        n = tested.agg(F.count(F.lit(1)).alias("all"), F.count_if("linked").alias("linked")).first()
+        comp = _joined(comp, tested.where("linked"))
+        release(marked, pairs, tested)
+        productive = n["linked"] >= PRODUCTIVE * n["all"] > 0
+    marked = staged(_marked(half, comp), "marked")
+    table, leaders, last = tables(marked), LEADERS, False
+    release(half, marked, suspects)
+    while not last:
+        held = table.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
+        held = held.groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+        several = staged(held.select("key", "n", F.col("most.root").alias("main"), F.greatest(F.lit(1.0), (F.col("n") - F.col("most.m")) / leaders).alias("share")), "several")
+        last = several.where("share > 1").limit(1).isEmpty()  # then every node outside leads, and all that can be linked is
+        outside = table.join(several, "key").where("root <> main").where(F.pmod(F.xxhash64("nid", F.lit(turn)), F.lit(1 << 20)) * F.col("share") <= F.lit(1 << 20))
+        lead = staged(outside.select("key", F.col("nid").alias("u"), "root", "main", "n"), "lead")
+        found = confirm_blocks(table, lead, sets, percent)
+        turn, leaders = turn + 1, leaders << (4 if not found.isEmpty() else 40)  # what links nothing any more may as well be done at once
+        comp = _joined(comp, found)
+        if not last:
+            old, table = table, staged(_marked(table.join(several, "key", "left_semi").drop("root"), comp), "tables")
+            release(old)
+        release(several, lead, found)
+    release(sets, table)
+    return comp
 
 
 def near_duplicates(docs: DataFrame, k: int, percent: int = 80, halves: int = HALVES, rows: int = ROWS) -> DataFrame:
@@ -306,12 +357,13 @@ def near_duplicates(docs: DataFrame, k: int, percent: int = 80, halves: int = HA
     hashes = Hashes(halves, rows)
     sketch = staged(sketches(docs, k, hashes), "sketches")
     usable = sketch.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
-    nodes = staged(usable.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("size"), F.min("s1").alias("s1"), F.min("s2").alias("s2"), F.min("halves").alias("halves")), "nodes")
+    nodes = usable.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("size"), F.min("s1").alias("s1"), F.min("s2").alias("s2"), F.min("halves").alias("halves"))
+    nodes = staged(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")  # numbers hold once written
     comp = links(docs, nodes, k, percent, hashes)
-    label = nodes.join(comp, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-    label = staged(label, "labels")
-    least = staged(label.groupBy("root").agg(F.min("doc_id").alias("component_id")), "roots")
+    label = nodes.select("nid", "node", "doc_id").join(comp, "nid", "left").select("node", "doc_id", F.coalesce("root", "nid").alias("root"))
+    least = label.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     label = staged(label.join(least, "root").select("node", "component_id"), "labels")
+    release(nodes, comp)
     out = sketch.select("doc_id", "n_shingles", "node").join(label, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
