@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+SIEVE = 1 << 20
+
 _PACKAGE = Path(__file__).resolve().parents[1]
 _own_dir: str | None = None
 _shipped: set[str] = set()
@@ -93,6 +95,22 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
+def sieve(ids: DataFrame) -> DataFrame:
+    """(word, mask): a bitmap of 64 * SIEVE bits with that of every id set; never more than SIEVE rows, whatever the number of ids."""
+    bit = ids.select(F.pmod(F.xxhash64(F.col(ids.columns[0])), F.lit(64 * SIEVE)).alias("bit"))
+    return bit.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask"))
+
+
+def sifted(df: DataFrame, column: str, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``df`` split in rows that may be, and rows that cannot be among the sieve's ids, without a shuffle."""
+    word, mask = ("_".join([x, *df.columns]) for x in ("word", "mask"))  # no column of the input has these names
+    bit = F.pmod(F.xxhash64(F.col(f"`{column}`").cast("long")), F.lit(64 * SIEVE))
+    both = df.withColumn(word, F.shiftright(bit, 6)).join(F.broadcast(words.toDF(word, mask)), word, "left")  # at most SIEVE rows of 16 bytes
+    set_ = F.coalesce(F.getbit(F.col(f"`{mask}`"), (bit % 64).cast("int")) == 1, F.lit(False))
+    own = [F.col(f"`{c}`") for c in df.columns]
+    return both.where(set_).select(*own), both.where(~set_).select(*own)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import documents, partitions, prepare, release, staged
+from tidewright.llm.common import documents, partitions, prepare, release, sieve, sifted, staged
 from tidewright.llm.components import components
 from tidewright.llm.textunits import lower_ascii, mix, rolling, slices, word_codes, words
 
@@ -131,7 +131,8 @@ def node_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
             blobs = [sets[i].astype("<u8").tobytes() for i in keep]
             yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(keep, pa.int64())), pa.array(blobs, pa.binary())], names=["nid", "shingles"])
 
-    both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(nodes, "doc_id")
+    few, _ = sifted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", sieve(nodes.select("doc_id")))
+    both = few.join(nodes, "doc_id")
     sets = staged(both.select("nid", "node", "text").mapInArrow(run, "nid long, shingles binary"), "sets")
     if sets.count() == nodes.count():
         return sets
@@ -375,7 +376,8 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> Data
 
     judged = near_duplicates(docs, k, percent)
     gone = staged(judged.where(~F.col("kept")).select("doc_id").distinct(), "gone")
-    left = docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    few, rest = sifted(docs, "doc_id", sieve(gone))  # texts that surely stay are not shuffled
+    left = few.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns]).unionByName(rest)
     again = staged(left.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "again")
     if again.isEmpty():
         return left
