@@ -22,10 +22,36 @@ def test_matches_the_articles(spark):
 
 def test_labelled_pages_come_back():
     for page in html_text.LABELLED:
-        inside = re.search(r"\[\[(.*)\]\]", page, re.S)[1]
-        got = html_text.extract(page.replace("[[", "").replace("]]", ""))
-        want = html_text.extract(f"<article>{inside}</article>")
-        assert got == want and want
+        inside = re.sub(r"\{\{.*?\}\}", "", re.search(r"\[\[(.*)\]\]", page, re.S)[1])
+        got = html_text.extract(re.sub(r"\[\[|\]\]|\{\{|\}\}", "", page))
+        assert got == html_text.extract(f"<article>{inside}</article>"), page
+        assert bool(got) == bool(inside)
+
+
+# Layouts and names that no labelled page has, with their text.
+HELD_OUT = [
+    ("<body><div><p>This is a long article about something.</p><p>Second paragraph of real text.</p></div></body>", "This is a long article about something.\n\nSecond paragraph of real text."),
+    ("just a page of plain words", "just a page of plain words"),
+    ('<div class="foo"><div class="qux"><p>Hello there my friend, how are you?</p><p>Well.</p></div></div>', "Hello there my friend, how are you?\n\nWell."),
+    ('<article><p>text <span class="ad sponsored">buy now</span> goes on <math><mi>x</mi></math> and <svg><text>y</text></svg> here</p></article>', "text goes on x and y here"),
+    ("<div><a href=1>Home</a> <a href=2>News</a></div>", ""),
+    ("<p>Read on and on, it says. See <a href=1>this page</a></p>", "Read on and on, it says. See this page"),
+    ('<div class="wrap"><div class="hd"><a href=/>Site</a></div><div class="bd"><h1>A headline of news</h1><p>Some first paragraph goes here with words.</p><div class="adsbygoogle">click me</div><p>And a last.</p></div><div class="ft">Copyright 2020</div></div>', "A headline of news\n\nSome first paragraph goes here with words.\n\nAnd a last."),
+    ("<body><div><ul><li><a>Home</a></li><li><a>About</a></li></ul></div><div><h3>Title of it</h3><p>First real paragraph with words in it.</p><ul><li>item one</li><li>item two</li></ul><p>End.</p></div><div><p>Made in 2024</p></div></body>", "Title of it\n\nFirst real paragraph with words in it.\n\nitem one\n\nitem two\n\nEnd."),
+    ('<body><main><section class="hero"><h1>Big words</h1></section><p>A text of its own.</p><video controls>no video here</video></main><section id="user-comments"><p>I read it all, and it was very good to read, every word.</p></section></body>', "Big words\n\nA text of its own.\n\nno video here"),
+    ('<div id="cookie-bar">We have cookies</div><article><p>one &amp; two</p><nav><a href="#a">part a</a></nav><p>three</p><footer>filed under things</footer></article>', "one & two\n\nthree"),
+    ("<table><tr><td><a href=1>x</a></td><td><p>A cell that holds a whole text, as they did in the old days.</p><p>It goes on.</p></td></tr></table>", "A cell that holds a whole text, as they did in the old days.\n\nIt goes on."),
+    ('<div class="content"><p>Kept.</p><noscript>also kept</noscript><button>Press</button><select><option>none</option></select><object>shown instead</object></div>', "Kept.\n\nalso kept\n\nshown instead"),
+]
+
+
+def test_held_out_layouts():
+    assert [(page, got) for page, want in HELD_OUT if (got := html_text.extract(page)) != want] == []
+
+
+def test_words_score_positive_and_tags_negative():
+    w = html_text.default_weights()
+    assert w.part["content"] > 0 and w.part["plain"] > 0 and all(v < 0 for k, v in w.part.items() if k.startswith("<")) and w.other_tag < 0
 
 
 def test_held_out_layout():
