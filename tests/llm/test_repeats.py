@@ -104,15 +104,29 @@ def test_patched_texts(spark, monkeypatch, group):
     same(as_bytes(suffix_sort.dedup_bytes(docs_frame(spark, chars), 20, 7)), brute_bytes(list(enumerate(chars)), 20))
 
 
-def test_contexts_whose_codes_agree_in_40_bits(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "SLICE", 60)
-    start = "uolqhfqsxctvwjzdwqnxcnwrswhnbgkrqwlebtfqnhaucflcib"
-    texts = [start + x for x in ("frmsdkilnwbesdjqerhrpelypa", "xeopicufgtftptfmfmkuswgwak")]
-    code, first, _, _ = repeats.Kind("byte", 50, 24).units(np.frombuffer("".join(texts).encode(), np.uint8), np.array([0, 76, 152]))
-    occ = repeats.Occurrences(repeats.Kind("byte", 50, 24), code, first, np.zeros(2, bool))
-    a, b = occ.context[np.flatnonzero(np.isin(occ.at, [26, 102]))].tolist()
-    assert a != b and a % 2**40 == b % 2**40
-    same(as_bytes(suffix_sort.dedup_bytes(docs_frame(spark, texts))), brute_bytes(list(enumerate(texts)), 50))
+def test_codes_that_clash(spark, sf, monkeypatch):
+    """Codes of words, anchors and contexts cut to a few bits only cost time; nothing else is removed."""
+    rows = [(r["doc_id"], r["text"]) for r in documents(spark, sf).where("length(text) < 4000").collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want_words, want_bytes = brute_words(rows, 50), brute_bytes(rows, 50)
+    for bits in (2, 10):
+        same(as_words(suffix_tree.dedup_words(docs, bits=bits)), want_words)
+        same(as_bytes(suffix_sort.dedup_bytes(docs, bits=bits)), want_bytes)
+    monkeypatch.setattr(repeats, "HOT", 40)
+    monkeypatch.setattr(repeats, "GROUP", 40)
+    same(as_words(suffix_tree.dedup_words(docs, bits=6)), want_words)
+
+
+def test_exact_numbers_tell_words_apart():
+    rng = random.Random(2)
+    for _ in range(50):
+        text = " ".join(rng.choice(["a", "b", "ab", "abcdefgh", "abcdefgi", "abcdefghi", "abcdefghj", "x" * 30, "x" * 29 + "y"]) for _ in range(60)).encode()
+        data = np.frombuffer(text, np.uint8)
+        kind = repeats.Kind("word", 50, 16, rng.choice([1, 3, 64]))
+        code, _, starts, ends = kind.units(data, np.array([0, len(data)]))
+        exact = kind.exact(data, code, starts, ends)
+        split = text.split()
+        assert all((exact[i] == exact[j]) == (split[i] == split[j]) for i in range(len(split)) for j in range(i))
 
 
 def test_odd_rows(spark):

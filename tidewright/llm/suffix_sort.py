@@ -135,9 +135,9 @@ def _finish(data, off, first, starts, ends, cover):
     return [pa.array(size), pa.array(size - np.diff(upto)), pa.array(np.diff(runs)), pa.array(digests)]
 
 
-def dedup_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+def dedup_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, bits: int = 64) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    return repeats.rewrite(docs, Kind("byte", width, gram), solve, _finish, SCHEMA)
+    return repeats.rewrite(docs, Kind("byte", width, gram, bits), solve, _finish, SCHEMA)
 
 
 def op10_suffix_sort(spark, sf_dir):

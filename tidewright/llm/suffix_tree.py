@@ -100,9 +100,9 @@ def _finish(data, off, first, starts, ends, cover):
     return [pa.array(np.diff(first)), pa.array(np.diff(removed)), pa.array(out)]
 
 
-def dedup_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def dedup_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits: int = 64) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256."""
-    return repeats.rewrite(docs, Kind("word", window, gram), solve, _finish, SCHEMA)
+    return repeats.rewrite(docs, Kind("word", window, gram, bits), solve, _finish, SCHEMA)
 
 
 def op3_suffix_trees(spark, sf_dir):
