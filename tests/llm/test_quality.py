@@ -42,6 +42,22 @@ def test_odd_rows(spark):
     assert kept.columns == [*docs.columns, "extra"]
 
 
+def test_character_trigrams():
+    texts = ["", "a", "ab", "abc", "é日\U0001f600b", "xyéz"]
+    raw = [t.encode() for t in texts]
+    points, at = quality.characters(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert [[chr(c) for c in points[a:b]] for a, b in zip(at, at[1:])] == [list(t) for t in texts]
+    assert quality.char_buckets(points[at[3]: at[4]]).tolist() == quality.char_buckets(np.array([97, 98, 99], np.uint32)).tolist()
+    assert len({int(quality.char_buckets(np.array([ord(c) for c in t], np.uint32))[0]) for t in ("abc", "cba", "é日b", "b日é")}) == 4
+
+
+def test_training_is_repeatable_when_doc_ids_repeat(spark, sf):
+    docs, labels = documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
+    many = docs.unionByName(docs.withColumn("text", docs.lang)).unionByName(docs)
+    one, two = (quality.train(d, labels, sample=60) for d in (many, many.repartition(7)))
+    assert (one.weights == two.weights).all() and (one.bias, one.slope, one.shift) == (two.bias, two.slope, two.shift)
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")

@@ -1,7 +1,7 @@
 """Quality rules: counted rules, then a calibrated hashed n-gram logistic regression.
 
 Features of a text are the shares of its hashed words and word pairs and of
-its hashed byte trigrams, so the model's score is a mean of gathered weights
+its hashed character trigrams, so the model's score is a mean of gathered weights
 and needs no per-document vocabulary. The model is fitted on at most
 ``SAMPLE`` labelled rows (a documented bound; half of them of either class, by
 hash order of doc_id), calibrated by Platt's method on a held-out third with
@@ -10,7 +10,9 @@ batches. A text is kept if its calibrated probability of good quality is at
 least ``KEEP``.
 
 Rows: null and empty texts have no words and fail the base rules; repeated
-rows are scored each; a null doc_id is scored too and stays null; labels that
+rows are scored each (of more than ``SAMPLE`` labelled rows, because doc_ids
+repeat, the first in hash order of doc_id and text train); a null doc_id is
+scored too and stays null; labels that
 are null, contradict each other (the lower one counts) or have no document are
 no trouble; without labels of both classes every text that passes the base
 rules is kept; extra columns are ignored, or passed through by ``keep_good``;
@@ -43,13 +45,19 @@ def word_buckets(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (mix(code) >> shift).astype(np.int64), (mix(rolling(code, 2)) >> shift).astype(np.int64)
 
 
-def byte_buckets(data: np.ndarray) -> np.ndarray:
-    """Buckets of byte trigrams, in the second half of the weights."""
-    if len(data) < 3:
+def characters(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 bytes, and each row's first one (n + 1 entries)."""
+    lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    return np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), "<u4"), lead[off]
+
+
+def char_buckets(points: np.ndarray) -> np.ndarray:
+    """Buckets of character trigrams, in the second half of the weights."""
+    if len(points) < 3:
         return np.zeros(0, np.int64)
-    wide = data.astype(np.uint32)
-    gram = wide[:-2] | wide[1:-1] << np.uint32(8) | wide[2:] << np.uint32(16)
-    return ((gram * np.uint32(2654435761)) >> np.uint32(32 - BITS + 1)).astype(np.int64) + _HALF
+    wide = points.astype(np.uint64)
+    gram = wide[:-2] | wide[1:-1] << np.uint64(21) | wide[2:] << np.uint64(42)
+    return ((gram * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS + 1)).astype(np.int64) + _HALF
 
 
 def _sums(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -110,8 +118,8 @@ class Model:
         score = _sums(self.weights[one], first[:-1], first[1:])
         score = score + (_sums(self.weights[two], first[:-1], first[1:] - 1) if len(two) else 0)
         score = score / np.maximum(1, 2 * n - 1)
-        size = np.diff(off)
-        grams = _sums(self.weights[byte_buckets(data)], off[:-1], off[1:] - 2) / np.maximum(1, size - 2)
+        points, at = characters(data, off)
+        grams = _sums(self.weights[char_buckets(points)], at[:-1], at[1:] - 2) / np.maximum(1, np.diff(at) - 2)
         return score + grams + self.bias
 
     def probability(self, raw: np.ndarray) -> np.ndarray:
@@ -123,14 +131,15 @@ def features(batches, columns: list[str]):
     for rows, data, off in slices(batches, "text"):
         starts, ends, first = words(data, off)
         code = word_codes(data, starts, ends)
+        points, chars = characters(data, off)
         others = [rows.column(rows.schema.get_field_index(c)).to_pylist() for c in columns]
         for i in range(len(off) - 1):
             one, two = word_buckets(code[first[i]: first[i + 1]])
             w = np.bincount(np.concatenate([one, two]))
             at = np.flatnonzero(w)
-            t = np.bincount(byte_buckets(data[off[i]: off[i + 1]]))
+            t = np.bincount(char_buckets(points[chars[i]: chars[i + 1]]))
             bt = np.flatnonzero(t)
-            values = np.concatenate([w[at] / max(1, len(one) + len(two)), t[bt] / max(1, off[i + 1] - off[i] - 2)])
+            values = np.concatenate([w[at] / max(1, len(one) + len(two)), t[bt] / max(1, chars[i + 1] - chars[i] - 2)])
             yield [c[i] for c in others], np.concatenate([at, bt]).astype("<u4"), values.astype("<f4")
 
 
@@ -202,8 +211,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
         for (k,), index, value in features(batches, ["label"]):
             yield pa.RecordBatch.from_pydict({"label": pa.array([k], pa.int32()), "index": [index.tobytes()], "value": [value.tobytes()]})
 
-    chosen = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").select(F.col("label").cast("int").alias("label"), "text")  # at most `sample` rows
-    rows = chosen.mapInArrow(found, "label int, index binary, value binary").limit(sample).collect()
+    chosen = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id")  # at most `sample` rows
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text").limit(sample)  # repeated doc_ids may be more; the same ones in every run
+    rows = chosen.select(F.col("label").cast("int").alias("label"), "text").mapInArrow(found, "label int, index binary, value binary").collect()
     got = [(r["label"], np.frombuffer(r["index"], "<u4"), np.frombuffer(r["value"], "<f4")) for r in rows]
     return fit(got, share[1] / (share[0] + share[1])) if len({r[0] for r in got}) == 2 else None
 
