@@ -40,6 +40,9 @@ def test_odd_rows_and_index(spark):
     again = spark.createDataFrame([(3, "u", big, "c"), (3, "w", big, "c"), (None, "u", big, "c"), (None, "n", None, "c")], SCHEMA)
     kinds = sorted(r["record_type"] for r in warc.read_records(warc.write_archives(again, new_path(spark, "w"))).collect())
     assert kinds == ["response", "response", "revisit", "revisit"]
+    twins = spark.createDataFrame([(2, "u", big, "c")] * 5 + [(3, "u", big, "c")] * 2 + [(1, "v", "x" * 99, "c")] * 3 + [(None, None, "y" * 200, "c")] * 2, SCHEMA)
+    got = sorted((str(r["page_id"]), r["record_type"], str(r["refers_to"])) for r in warc.read_records(warc.write_archives(twins, new_path(spark, "w"))).collect())
+    assert got == [("1", "response", "None")] * 3 + [("2", "response", "None")] + [("2", "revisit", "2")] * 4 + [("3", "revisit", "2")] * 2 + [("None", "response", "None"), ("None", "revisit", "None")]
     assert warc.read_records(warc.write_archives(df.limit(0), new_path(spark, "w"))).count() == 0
 
 

@@ -13,8 +13,9 @@ revisit keeps the header block and so the full payload's length.
 
 Rows: null html is an empty payload; a null or odd URL is percent-encoded and
 still one header line; repeated page_ids are separate records, and of equal
-payloads under the same smallest page_id the first in hash order of url is the
-response; a null page_id sorts after all others; extra columns are ignored; an
+payloads under the same smallest page_id one with the first url in hash order
+is the response, also where whole rows repeat, and the others revisit it; a
+null page_id sorts after all others; extra columns are ignored; an
 empty table writes no archive.
 """
 
@@ -55,10 +56,20 @@ def with_types(table: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     first = meta.groupBy("payload_digest").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     first = staged(first.select("payload_digest", "first"), "repeated", "snappy")
     again = meta.join(first, "payload_digest").where(~F.col("rank").eqNullSafe(F.col("first")))
+    twins = meta.join(first, "payload_digest").where(F.col("rank").eqNullSafe(F.col("first"))).groupBy("payload_digest", "page_id", "url").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    twins = staged(twins, "twins", "snappy")  # whole rows that repeat and whose first is the response
     again = staged(again.select(F.col("page_id").alias("p"), F.col("url").alias("u"), F.col("payload_digest").alias("d"), F.col("first.p").alias("to")).distinct(), "revisits", "snappy")
     both = one.join(again, one.page_id.eqNullSafe(again.p) & one.url.eqNullSafe(again.u) & (one.payload_digest == again.d), "left")
     revisit = F.col("d").isNotNull()
-    return both.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.col("to").alias("refers_to"))
+    both = both.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.col("to").alias("refers_to"))
+    if twins.isEmpty():
+        return both
+    match = both.page_id.eqNullSafe(twins.page_id) & both.url.eqNullSafe(twins.url) & (both.payload_digest == twins.payload_digest)
+    of = both.join(twins, match, "left_semi").groupBy("page_id", "url", "payload_digest").agg(F.first("html").alias("html"), F.first("payload_bytes").alias("payload_bytes"), F.count(F.lit(1)).alias("rows"))
+    each = of.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    kind = F.when(F.col("nth") == 1, "response").otherwise("revisit")
+    each = each.select("page_id", "url", "html", "payload_bytes", "payload_digest", kind.alias("record_type"), F.when(F.col("nth") > 1, F.col("page_id")).alias("refers_to"))
+    return both.join(twins, match, "left_anti").unionByName(each)
 
 
 def record(page_id, url, payload: bytes, digest: str, kind: str, refers_to) -> bytes:
