@@ -24,10 +24,9 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidewright.llm import files
-from tidewright.llm.common import new_path, partitions, prepare, staged
+from tidewright.llm.common import new_path, partitions, prepare, running_total, staged
 from tidewright.llm.tokens import encoded, tokenizer_path
 
 MAGIC = b"TWTF"
@@ -94,8 +93,8 @@ def read_shard(uri: str, id_of_rank: np.ndarray):
 def write_token_files(docs: DataFrame, folder: str, end_id: int = 2, path: str | None = None) -> DataFrame:
     """Write ``docs`` (doc_id, text) as token files under ``folder`` in ascending doc_id order.
 
-    Returns one row per shard in no order: shard, first (doc_id of its first
-    document), docs, ids, base (ids of all earlier shards).
+    Returns one row per shard in no order: shard, docs, ids, base (ids of all
+    earlier shards).
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -167,12 +166,7 @@ def write_token_files(docs: DataFrame, folder: str, end_id: int = 2, path: str |
             yield flush()
 
     shards = staged(table.where(F.col("row") >= 0).select("doc_id", "range", "row", "ids").mapInArrow(write, "shard string, range int, first_row long, docs long, ids long"), "shards")
-    rows, base = [], 0
-    for r in shards.orderBy("range", "first_row").collect():  # a row per file
-        rows.append((r["shard"], r["docs"], r["ids"], base))
-        base += r["ids"]
-    kind = T.StructType([T.StructField("shard", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("docs", "ids", "base"))])
-    return spark.createDataFrame(rows, kind)
+    return running_total(shards, ["range", "first_row"], "ids", "base", "bases").select("shard", "docs", "ids", "base")
 
 
 def corpus_counts(tables: DataFrame, wide: int = 64) -> np.ndarray:
