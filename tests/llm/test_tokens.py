@@ -1,4 +1,6 @@
+import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -60,18 +62,51 @@ def test_packing_odd_rows(spark, library):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
-def test_packing_holds_the_mixture(spark):
-    docs = spark.createDataFrame([(i, "alpha beta gamma delta " * 40, "big" if i % 4 else "small") for i in range(120)], "doc_id long, text string, source string")
-    rows = packing.pack(docs.coalesce(1), window=256, unit=32).collect()
-    share = sum(r["length"] for r in rows if r["source"] == "small") / sum(r["length"] for r in rows)
-    seen = {}
-    for r in rows:
-        s = seen.setdefault(r["sequence_id"], [0, 0])
-        s[0] += r["length"] * (r["source"] == "small")
-        s[1] += r["length"]
-    for small, total in list(seen.values())[:-8]:
-        if total == 256:
-            assert abs(small - share * 256) <= 64  # two units
+def round_robin(lengths, weights, per_window):
+    """Plain deficit round-robin in exact arithmetic: the order in which (source, unit) are sent."""
+    total, deficit, at, out = sum(weights.values()), dict.fromkeys(lengths, Fraction(0)), dict.fromkeys(lengths, 0), []
+    while any(at[s] < lengths[s] for s in lengths):
+        for s in sorted(lengths):
+            deficit[s] += Fraction(weights[s]) * per_window / total
+            while deficit[s] >= 1:
+                deficit[s] -= 1
+                if at[s] < lengths[s]:
+                    out.append((s, at[s]))
+                    at[s] += 1
+    return out
+
+
+@pytest.mark.parametrize("mixture", [None, {"a": 0.5, "b": 0.25, "c": 0.25}, {"c": 0.5}])
+def test_packing_is_a_round_robin_over_partitions(spark, library, mixture):
+    rng = random.Random(3)
+    rows = [(i, "alpha beta gamma delta " * rng.randrange(1, 40), rng.choice("aaabbc")) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    out = packing.pack(docs, window=256, unit=32, mixture=mixture).collect()
+    check_packing(out, [(d, t) for d, t, _ in rows], library, 256)
+    tokens = {s: sum(len(ids_of(library, t, 1)) for _, t, x in rows if x == s) for s in "abc"}
+    units = {s: n // 32 for s, n in tokens.items()}
+    weights = units
+    if mixture:
+        rest = sum(units[s] for s in units if s not in mixture)
+        weights = {s: Fraction(mixture[s]) if s in mixture else Fraction(units[s], rest) * (1 - Fraction(sum(mixture.values()))) for s in units}
+    order = [s for s, _ in round_robin(units, weights, 8)]
+    got = [None] * sum(tokens.values())
+    for r in out:
+        a = r["sequence_id"] * 256 + r["offset"]
+        if a + r["length"] <= 32 * len(order):
+            got[a: a + r["length"]] = [r["source"]] * r["length"]
+    assert [got[32 * i] for i in range(len(order))] == order
+    assert all(got[32 * i: 32 * i + 32] == [order[i]] * 32 for i in range(len(order)))
+
+
+def test_packing_sends_a_source_of_proportion_0_last(spark):
+    docs = spark.createDataFrame([(i, "alpha beta gamma delta " * 30, "ab"[i % 2]) for i in range(40)], "doc_id long, text string, source string").repartition(3)
+    out = packing.pack(docs, window=256, unit=32, mixture={"a": 0.0, "b": 1.0}).collect()
+    full = [r for r in out if r["sequence_id"] < max(x["sequence_id"] for x in out) - 8]
+    last_b = max(r["sequence_id"] for r in full if r["source"] == "b")
+    assert all(r["sequence_id"] >= last_b for r in full if r["source"] == "a")
+    with pytest.raises(ValueError):
+        packing.pack(docs, mixture={"a": 0.8, "b": 0.8})
 
 
 def test_token_files_match_brute_force(spark, sf, library):

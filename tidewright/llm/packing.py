@@ -1,17 +1,25 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
-Every source is a queue of token ids. Each window of ``window`` tokens gives a
-source a quantum in proportion to its tokens; a source sends a unit of
-``unit`` tokens as soon as its saved quanta (its deficit) cover one, and what
-is left over is carried to the next window. As quanta are constant, the round
-that sends unit u of a source with T_s of T units is known in closed form,
-``ceil((u + 1) * T / (T_s * units per window)) - 1``, so deficits carry over
-partitions without any task seeing another's rows: sorting units by (round,
-source, u) is the schedule, and a distributed prefix sum gives positions.
-
-A task's queues end in a part unit; it is cut into powers of two, which follow
-the full units by falling size, so no unit crosses a window, and the last
-window, too, falls into powers of two: nothing is padded.
+Every source is a queue of units of ``unit`` tokens. In every round a queue
+gets a quantum, its target proportion of a window of ``window`` tokens; it
+sends a unit as soon as its saved quanta (its deficit) cover one, and what is
+left over is carried to the next round. As quanta are constant, the round that
+sends unit u of a queue with weight w of W in all is known in closed form,
+``ceil((u + 1) * W / (w * units per window)) - 1``, so deficits carry over
+windows and partitions without any task seeing another's rows: sorting units
+by (round, source, u) is the schedule, and a distributed prefix sum gives
+positions. While all queues last, every window has the target proportions, to
+a unit a source; when one runs dry, the others share its place in proportion
+to theirs.
+
+The target is the sources' shares of all tokens, or ``mixture``; there, sources
+without a proportion keep their shares, and those with 0 come after all others.
+
+A task's queues end in a part unit. The part units of a source are joined over
+the tasks, in their order, and cut into units again; only what is left of each
+source after that, less than a unit, is cut into powers of two, which come
+last, by falling size, so no unit crosses a window, and the last window, too,
+falls into powers of two: nothing is padded.
 
 Rows: a null text is the end id alone; null sources form one queue; repeated
 rows are packed each; a null doc_id stays null; extra columns are ignored; an
@@ -31,8 +39,8 @@ from tidewright.llm.common import documents, prepare, running_total, staged
 from tidewright.llm.tokens import encoded, tokenizer_path
 
 WINDOW = 2048
-UNIT = 128
-PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, queue string, task int, unit long, size long, at long"
+UNIT = 256
+PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, queue string, task int, unit long, size long, at long, ids binary"
 _NAMES = [x.split()[0] for x in PIECE.split(", ")]
 
 
@@ -59,25 +67,55 @@ class _Queues:
                 open_.append((doc_id, a, n, at, ids[a:b]))
                 continue
             for d, s, total, o, held in open_:
-                self.rows.append((d, s, len(held), zlib.crc32(held.data), total, source, self.task, u, size, o))
+                self.rows.append((d, s, len(held), zlib.crc32(held.data), total, source, self.task, u, size, o, None))
             open_.clear()
-            self.rows.append((doc_id, a, b - a, zlib.crc32(raw[a * wide: b * wide]), n, source, self.task, u, size, at))
+            self.rows.append((doc_id, a, b - a, zlib.crc32(raw[a * wide: b * wide]), n, source, self.task, u, size, at, None))
         self.length[source] = q + n
 
     def close(self) -> None:
-        """Cut each queue's last part unit into powers of two."""
+        """Hand each queue's last part unit on, with its ids, for the joined part units."""
         for source, open_ in self.open.items():
-            left, u = self.length[source] % self.unit, self.length[source] // self.unit
-            edges, at = [], 0
-            for k in reversed(range(left.bit_length())):
-                if left >> k & 1:
-                    edges.append((at, at + (1 << k)))
-                    at += 1 << k
             for d, s, total, o, held in open_:
-                for lo, hi in edges:
-                    a, b = max(o, lo), min(o + len(held), hi)
-                    if a < b:
-                        self.rows.append((d, s + a - o, b - a, zlib.crc32(held[a - o: b - o].data), total, source, self.task, u, hi - lo, a - lo))
+                self.rows.append((d, s, len(held), None, total, source, self.task, -1, 0, o, held.tobytes()))
+
+
+def _edges(size: int) -> list[tuple[int, int]]:
+    """Powers of two that add up to ``size``, from the largest, as (start, end)."""
+    out, at = [], 0
+    for k in reversed(range(size.bit_length())):
+        if size >> k & 1:
+            out.append((at, at + (1 << k)))
+            at += 1 << k
+    return out
+
+
+def cut_parts(parts: DataFrame, unit: int) -> DataFrame:
+    """Cut the joined part units: ``parts`` has PIECE and place (in the source's joined parts), joined (their length), full (the source's full units)."""
+
+    def cut(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                ids, p, n = np.frombuffer(r["ids"], "<u4"), r["place"], r["length"]
+                whole = r["joined"] // unit * unit
+                ends = [*range(p - p % unit + unit, min(p + n, whole + 1), unit)]
+                last = [(whole + a, whole + z) for a, z in _edges(r["joined"] - whole)]
+                cuts = sorted({p, p + n, *ends, *(a for a, _ in last if p < a < p + n)})
+                for a, z in zip(cuts, cuts[1:]):
+                    lo, size = (a - a % unit, unit) if a < whole else next((x, y - x) for x, y in last if x <= a < y)
+                    rows.append((r["doc_id"], r["start"] + a - p, z - a, zlib.crc32(ids[a - p: z - p].tobytes()), r["doc_tokens"], r["queue"], r["task"], r["full"] + a // unit, size, a - lo, None))
+            if rows:
+                yield pa.RecordBatch.from_pydict(dict(zip(_NAMES, map(pa.array, zip(*rows))))).cast(_schema())
+
+    return parts.mapInArrow(cut, PIECE)
+
+
+def _schema():
+    import pyarrow as pa
+
+    return pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}[x.split()[1]]) for n, x in zip(_NAMES, PIECE.split(", "))])
 
 
 def cut_documents(docs: DataFrame, end_id: int = 1, unit: int = UNIT, path: str | None = None) -> DataFrame:
@@ -93,9 +131,8 @@ def cut_documents(docs: DataFrame, end_id: int = 1, unit: int = UNIT, path: str
         def emit():
             out = pa.RecordBatch.from_pydict(dict(zip(_NAMES, map(pa.array, zip(*queues.rows)))))
             queues.rows = []
-            return out.cast(schema)
+            return out.cast(_schema())
 
-        schema = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[x.split()[1]]) for n, x in zip(_NAMES, PIECE.split(", "))])
         for rows, ids, sizes in encoded(batches, path):
             full = np.insert(ids, np.cumsum(sizes), end_id).astype("<u4")
             ends = np.cumsum(sizes + 1).tolist()
@@ -113,24 +150,46 @@ def cut_documents(docs: DataFrame, end_id: int = 1, unit: int = UNIT, path: str
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", queue.alias("queue")).mapInArrow(cut, PIECE)
 
 
-def pack(docs: DataFrame, window: int = WINDOW, unit: int = UNIT, end_id: int = 1, path: str | None = None) -> DataFrame:
-    """Pieces of all documents with their sequence: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source."""
+def pack(docs: DataFrame, window: int = WINDOW, unit: int = UNIT, end_id: int = 1, path: str | None = None, mixture: dict[str, float] | None = None) -> DataFrame:
+    """Pieces of all documents with their sequence: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
+
+    ``mixture``: target proportions by source, at most 1 in all.
+    """
     if window % unit or unit & (unit - 1) or window & (window - 1):
         raise ValueError("window and unit must be powers of two, unit no larger than window")
-    prepare(docs.sparkSession)
+    if mixture and (min(mixture.values()) < 0 or sum(mixture.values()) > 1 + 1e-9):
+        raise ValueError("proportions must not be negative, nor more than 1 in all")
+    spark = docs.sparkSession
+    prepare(spark)
     pieces = staged(cut_documents(docs, end_id, unit, path), "pieces")
-    units = pieces.where((F.col("size") == unit) & (F.col("at") == 0)).groupBy("task", "queue").agg(F.count(F.lit(1)).alias("n"))
+    whole = (F.col("size") == unit) & (F.col("at") == 0)
+    units = pieces.groupBy("task", "queue").agg(F.count_if(whole).alias("n"), F.coalesce(F.sum(F.when(F.col("size") == 0, F.col("length"))), F.lit(0)).alias("p"))
     each = W.partitionBy("queue")  # a row per task
-    units = units.withColumn("before", F.sum("n").over(each.orderBy("task")) - F.col("n")).withColumn("mine", F.sum("n").over(each))
-    units = staged(units.select("task", "queue", "before", "mine"), "queues")
-    total = pieces.agg(F.sum(F.when((F.col("size") == unit) & (F.col("at") == 0), 1)).alias("u"), F.sum("length").alias("t")).first()
-    all_units, tokens = total["u"] or 0, total["t"] or 0
+    so_far = lambda c: F.sum(c).over(each.orderBy("task")) - F.col(c)
+    units = staged(units.select("task", "queue", so_far("n").alias("before"), so_far("p").alias("parts_before"), F.sum("n").over(each).alias("full"), F.sum("p").over(each).alias("joined")), "queues")
+    queues = units.select("queue", (F.col("full") + F.floor(F.col("joined") / unit)).cast("double").alias("units")).distinct()
+    queues = queues.crossJoin(F.broadcast(queues.agg(F.sum("units").alias("all"))))  # one row
+    share = F.col("units") / F.col("all")
+    if mixture:
+        named = spark.createDataFrame([(f"={k}", float(v)) for k, v in mixture.items()], "queue string, aim double")
+        queues = queues.join(F.broadcast(named), "queue", "left")  # the caller's proportions
+        rest = F.broadcast(queues.agg(F.sum(F.when(F.col("aim").isNull(), share)).alias("unnamed")))
+        queues = queues.crossJoin(rest)
+        share = F.coalesce("aim", share / F.col("unnamed") * (1 - sum(mixture.values())))
+        share = F.round(share * 1_000_000_000)
+        queues = queues.select("queue", share.alias("weight"), F.lit(1e9).alias("weights"))
+    else:
+        queues = queues.select("queue", F.col("units").alias("weight"), F.col("all").alias("weights"))
+    queues = staged(queues, "weights")
+    parts = pieces.where("size = 0").join(units, ["task", "queue"]).withColumn("place", F.col("at") + F.col("parts_before"))
+    parts = cut_parts(parts.select(*_NAMES, "place", "joined", "full"), unit)
+    cut = pieces.where("size > 0").join(units.select("task", "queue", "before"), ["task", "queue"]).withColumn("unit", F.col("unit") + F.col("before")).select(*_NAMES)
+    tokens = pieces.agg(F.sum("length").alias("t")).first()["t"] or 0
     full = F.col("size") == unit
-    u = F.col("unit") + F.coalesce(F.col("before"), F.lit(0))
-    turn = F.when(full, F.ceil((u + 1) * (F.lit(float(all_units)) / (F.col("mine") * (window // unit)))) - 1).otherwise(0)
-    keyed = pieces.join(units, ["task", "queue"], "left").select(
-        *_NAMES[:5], "queue", "at", (~full).cast("int").alias("tail"), (-F.col("size")).alias("fall"), turn.cast("long").alias("turn"),
-        F.when(full, u).otherwise(F.col("task").cast("long")).alias("nth"))
+    turn = F.ceil((F.col("unit") + 1) * F.col("weights") / (F.col("weight") * (window // unit))) - 1
+    turn = F.when(~full, 0).when(F.col("weight") > 0, turn).otherwise((1 << 62))
+    keyed = cut.unionByName(parts).join(queues, "queue").select(
+        *_NAMES[:5], "queue", "at", (~full).cast("int").alias("tail"), (-F.col("size")).alias("fall"), turn.cast("long").alias("turn"), F.col("unit").alias("nth"))
     placed = running_total(keyed, ["tail", "fall", "turn", "queue", "nth", "at"], "length", "place", "placed")
     whole, rest = divmod(tokens, window)
     x = F.col("place") - whole * window
