@@ -13,8 +13,8 @@ the exact edit distance of the whole item to the best-fitting stretch
 passed over, as no item has them. So every match within the allowed edits is
 found; see ``run_of``.
 
-The benchmark is the query set: it is read in blocks of about ``BLOCK`` items,
-each held by every task, against all documents.
+The benchmark is the query set: it is read in blocks of about ``BLOCK`` items
+and ``BLOCK_CHARS`` characters at most, each held by every task, against all documents.
 
 Rows: null and empty texts and items match nothing; repeated rows are searched
 each, and give one result row per doc_id and item; a null doc_id or item_id
@@ -35,6 +35,7 @@ from tidewright.llm.textunits import lower_ascii, mix, slices, word_codes
 
 U = np.uint64
 BLOCK = 20_000
+BLOCK_CHARS = 8 << 20
 RUN = 4
 STEPS = 3
 PERCENT = 80
@@ -222,9 +223,10 @@ class Block:
 
 
 def _blocks(benchmark: DataFrame, percent: int, block: int):
-    """The benchmark in blocks of about ``block`` items, by hash of its id and text."""
+    """The benchmark in blocks of about ``block`` items and BLOCK_CHARS characters at most, by hash of its id and text."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    n = max(1, math.ceil(items.count() / block))
+    size = items.agg(F.count(F.lit(1)).alias("items"), F.sum(F.length("text")).alias("chars")).first()
+    n = max(1, math.ceil(size["items"] / block), math.ceil((size["chars"] or 0) / BLOCK_CHARS))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
     for i in range(n):
         rows = sorted(items.where(part == i).collect(), key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"] or ""))
