@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidewright.llm.decontaminate import op5_decontaminate
 from tidewright.llm.html_text import op8_html_text
 from tidewright.llm.near_dup import op9_minhash
+from tidewright.llm.oracle import ORACLE_SQL as ORACLE_SQL
 from tidewright.llm.packing import op2_packing
 from tidewright.llm.pii import op1_pii
 from tidewright.llm.quality import op4_quality
@@ -25,5 +26,3 @@ QUERIES = {
     "op9_minhash": op9_minhash,
     "op10_suffix_sort": op10_suffix_sort,
 }
-
-ORACLE_SQL: dict[str, str] = {}
