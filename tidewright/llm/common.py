@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SIEVE = 1 << 20
+BATCH_BYTES = 8 << 20
 
 _PACKAGE = Path(__file__).resolve().parents[1]
 _own_dir: str | None = None
@@ -26,8 +27,13 @@ def prepare(spark: SparkSession) -> None:
 
     Workers that inherit a PYTHONPATH with the repository need nothing; for
     others a zip of the package goes out through Spark's file server, once per
-    application.
+    application. Batches for Python are held to BATCH_BYTES, unless the
+    session has a limit of its own, so that the memory of a task does not
+    depend on how long its texts are.
     """
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit) == "67108864b":  # as Spark sets it
+        spark.conf.set(limit, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped or str(_PACKAGE.parent) in os.environ.get("PYTHONPATH", "").split(":"):
         return

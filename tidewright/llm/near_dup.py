@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tidewright.llm.common import documents, partitions, prepare, release, sieve, sifted, staged
 from tidewright.llm.components import components
-from tidewright.llm.textunits import lower_ascii, mix, rolling, slices, word_codes, words
+from tidewright.llm.textunits import give_back, lower_ascii, mix, rolling, slices, word_codes, words
 
 HALVES = 18
 ROWS = 4
@@ -176,6 +176,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 vs.append(v)
                 ok.append(100 * same >= percent * (len(mine) + len(lead_set) - same))
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(ok, pa.bool_())], names=["u", "v", "linked"])
+        give_back()
 
     both = member.unionByName(lead).repartition(partitions(spark), "u", "chunk").sortWithinPartitions("u", "chunk", F.col("v").asc_nulls_first())
     out = staged(both.mapInArrow(run, "u long, v long, linked boolean"), "tested")
@@ -256,6 +257,7 @@ def confirm_blocks(table: DataFrame, lead: DataFrame, sets: DataFrame, percent:
                         out.append((us[i], v))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["u", "v"])
+        give_back()
 
     both = heads.unionByName(rows).repartition(partitions(spark), "family", "block", "chunk").sortWithinPartitions("family", "block", "chunk", "side")
     out = staged(both.mapInArrow(run, "u long, v long"), "found")

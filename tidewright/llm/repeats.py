@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tidewright.llm import files
 from tidewright.llm.common import new_path, partitions, prepare, staged
-from tidewright.llm.textunits import anchors, mix, mix_int, rolling, slices, word_codes, words
+from tidewright.llm.textunits import anchors, give_back, mix, mix_int, rolling, slices, word_codes, words
 
 SLICE = 2 << 20
 BUCKET = 24 << 20
@@ -227,6 +227,7 @@ def per_slice(index: DataFrame, notes: DataFrame | None, work, schema: str) -> D
                     held.append(payload)
         if now is not None:
             yield from work(now[0], *load_slice(*now[1:]), held)
+        give_back()
 
     return rows.mapInArrow(run, schema)
 
@@ -371,6 +372,7 @@ def meet(sent: DataFrame, buckets: int) -> DataFrame:
                 rows.append((s, raw.as_buffer()))
         if rows:
             yield from emit(now, rows)
+        give_back()
 
     return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "slice").mapInArrow(run, MEET)
 
@@ -505,6 +507,7 @@ def resolve_buckets(blobs: DataFrame, kind: Kind, buckets: int, solve) -> DataFr
                 of.append(s)
         if parts:
             yield from emit(parts, of)
+        give_back()
 
     return blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket", "slice").mapInArrow(run, "slice long, payload binary")
 

@@ -39,6 +39,17 @@ def mix_int(x: int) -> int:
     return int(mix(np.array([x & (2**64 - 1)], dtype=np.uint64))[0])
 
 
+def give_back() -> None:
+    """Return this worker's free memory to the system, which does not take it back by itself."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batches, column: str, limit: int = 2 << 20):
     """Split Arrow record batches into row slices of about ``limit`` text bytes.
 
@@ -64,6 +75,7 @@ def slices(batches, column: str, limit: int = 2 << 20):
             j = min(n, max(i + 1, j))
             yield batch.slice(i, j - i), raw[off[i]: off[j]], off[i: j + 1] - off[i]
             i = j
+    give_back()
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
