@@ -91,10 +91,37 @@ def test_governor(spark, restart):
     xs = [rng.gauss(-0.004, 0.03) for _ in range(120)]
     df = spark.createDataFrame([("b", k, r) for k, r in enumerate(xs)], "book string, k long, r double")
     got = [(r["mult"], r["governed"]) for r in recurrence.drawdown_governor(df, ["book"], restart_after=restart).orderBy("k").collect()]
-    assert got == plain_governor(xs, 0.03, 0.5, 5, ((0.10, 0.75), (0.15, 0.5), (0.20, 0.0)), restart)
+    assert got == plain_governor(xs, 0.03, 0.5, 5, recurrence.LADDER, restart)
     assert recurrence.drawdown_governor(df.limit(0), ["book"]).count() == 0
 
 
+def test_governed_path_in_blocks_of_any_size():
+    import numpy as np
+
+    rng = random.Random(6)
+    for trial in range(200):
+        xs = [rng.gauss(-0.002, rng.choice([0.005, 0.03, 0.2])) for _ in range(rng.randrange(1, 90))]
+        xs = [max(x, -0.95) for x in xs]
+        ladder = rng.choice([recurrence.LADDER, ((0.10, 0.75), (0.15, 0.5), (0.20, 0.0)), ((0.05, 0.9),)])
+        restart, cool = rng.choice([None, 1, 4]), rng.randrange(1, 6)
+        got = recurrence.governed_path(np.array(xs), 0.03, 0.5, cool, ladder, restart, block=rng.randrange(1, 20))
+        assert list(zip(got["mult"].tolist(), got["governed"].tolist())) == plain_governor(xs, 0.03, 0.5, cool, ladder, restart), trial
+
+
+def test_impossible_returns_and_volumes_are_refused(spark):
+    for bad in (-1.0, -1.5, float("nan"), float("inf")):
+        df = spark.createDataFrame([("b", 0, 0.1), ("b", 1, bad), ("b", 2, 0.5)], "book string, k long, r double")
+        with pytest.raises(Exception, match="above -1"):
+            recurrence.equity_curve(df, ["book"]).collect()
+        with pytest.raises(Exception, match="above -1"):
+            recurrence.drawdown_governor(df, ["book"]).collect()
+    ok = spark.createDataFrame([("b", 0, 0.1), ("b", 1, None), ("b", 2, -0.5)], "book string, k long, r double")
+    assert [round(r["equity"], 9) for r in recurrence.equity_curve(ok, ["book"]).orderBy("k").collect()] == [1.1, 1.1, 0.55]
+    for bad in (None, -1.0, float("nan"), float("inf")):
+        with pytest.raises(Exception, match="volume"):
+            spark.createDataFrame([(bad,)], "v double").select(scalars.fee_tier(F.col("v"))).collect()
+
+
 def test_limits_scale_only_past_the_bound(spark):
     df = spark.createDataFrame([(0, "a", 1.0), (0, "b", 0.5), (1, "a", 1.2), (1, "b", 0.6)], "k long, asset string, w double")
     got = {(r["k"], r["asset"]): r["x"] for r in df.select("k", "asset", limits.gross_cap().alias("x")).collect()}
@@ -137,13 +164,17 @@ def test_bootstrap_means_equal_plain_resampling(spark):
     xs = [random.Random(3).gauss(0, 1) for _ in range(17)]
     df = spark.createDataFrame([("s", k, x) for k, x in enumerate(xs)], "g string, k long, r double")
     want = {}
-    for i, start, length in stats.bootstrap_blocks(17, 4, 30, 9):
-        want.setdefault(i, []).extend(xs[(start + j) % 17] for j in range(length))
-    assert all(len(v) == 17 for v in want.values())
+    blocks = stats.bootstrap_blocks(spark, 17, 4, 30, 9)
+    for r in blocks.collect():
+        want.setdefault(r["resample"], []).extend(xs[(r["start"] + j) % 17] for j in range(r["length"]))
+    assert len(want) == 30 and all(len(v) == 17 for v in want.values())
     got = {r["resample"]: r["mean"] for r in stats.bootstrap_means(df, ["g"], "r", 17, 4, 30, 9).collect()}
     assert set(got) == set(want)
     for i, v in want.items():
         assert got[i] == pytest.approx(sum(v) / 17)
+    assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, stats.bootstrap_blocks(spark, 17, 4, 30, 9).repartition(3).collect()))
+    many = stats.bootstrap_blocks(spark, 500, 20, 200, 1).collect()
+    assert 17 < sum(r["length"] for r in many) / len(many) < 21  # the last block of a resample is cut
 
 
 def test_cpcv_purge_and_embargo(spark):
@@ -187,10 +218,22 @@ def test_planted_signal_is_found_and_noise_is_not(spark):
     assert noise["p_value"] > 0.05
 
 
-def test_scalars():
-    assert scalars.expected_max_sharpe(1, 1.0) == 0.0
-    assert scalars.probabilistic_sharpe(0.0, 100) == pytest.approx(0.5)
-    assert scalars.deflated_sharpe(0.1, 1000, 10, 0.001) < scalars.probabilistic_sharpe(0.1, 1000)
+def test_scalars(spark):
+    import math
+    from statistics import NormalDist
+
+    norm, ps = NormalDist(), [1e-12, 1e-6, 0.01, 0.07, 0.2, 0.5, 0.6, 0.93, 0.999, 1 - 1e-9]
+    rows = spark.createDataFrame([(p, norm.inv_cdf(p)) for p in ps], "p double, x double").select("p", "x", scalars.normal_quantile(F.col("p")).alias("q"), scalars.normal_cdf(F.col("x")).alias("c")).collect()
+    for r in rows:
+        assert r["q"] == pytest.approx(r["x"], rel=1e-12, abs=1e-12) and r["c"] == pytest.approx(r["p"], rel=1e-7, abs=1e-13)
+    t = spark.createDataFrame([(0.1, 1000, 10.0, 0.001, -0.3, 4.0), (0.0, 100, 1.0, 1.0, 0.0, 3.0)], "sr double, n long, trials double, v double, skew double, kurt double")
+    c = F.col
+    got = t.select(scalars.expected_max_sharpe(c("trials"), c("v")).alias("best"), scalars.deflated_sharpe(c("sr"), c("n"), c("trials"), c("v"), c("skew"), c("kurt")).alias("dsr")).collect()
+    best = math.sqrt(0.001) * ((1 - 0.5772156649015329) * norm.inv_cdf(0.9) + 0.5772156649015329 * norm.inv_cdf(1 - 1 / (10 * math.e)))
+    assert got[0]["best"] == pytest.approx(best) and got[1]["best"] == 0.0 and got[1]["dsr"] == pytest.approx(0.5)
+    assert got[0]["dsr"] == pytest.approx(norm.cdf((0.1 - best) * math.sqrt(999 / (1 + 0.3 * 0.1 + 0.75 * 0.01))))
+    with pytest.raises(Exception, match="trials"):
+        t.select(scalars.expected_max_sharpe(F.lit(0.5), c("v"))).collect()
 
 
 def test_readers_refuse(spark, tmp_path):

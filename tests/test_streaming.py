@@ -43,7 +43,8 @@ def test_stateful_book_equals_batch_replay(spark, sf, tmp_path):
     got = sorted((r["seq"], r["bid"], r["ask"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     book, want = orderbook.Book(10), []
     for r in m.orderBy("seq").collect():
-        book.apply(r["type"], [(x["price"], x["qty"]) for x in r["bids"]], [(x["price"], x["qty"]) for x in r["asks"]])
-        if book.bids and book.asks:
-            want.append((r["seq"], max(book.bids), min(book.asks)))
+        book.read(r["type"], [(x["price"], x["qty"]) for x in r["bids"]], [(x["price"], x["qty"]) for x in r["asks"]])
+        if book.both():
+            bids, asks = book.ladder()
+            want.append((r["seq"], bids[0][0], asks[0][0]))
     assert got == want and want

@@ -93,12 +93,20 @@ def merge_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
     return run.groupBy(*keys, "_g").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_g")
 
 
+def _by_day(spans: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """Spans cut at midnights: keys, day, and the part's ends."""
+    us = 86_400_000_000
+    lo, hi = _us(start), _us(end)
+    days = F.explode(F.sequence(F.floor(lo / us), F.floor((hi - 1) / us)))
+    cut = spans.where(hi > lo).select(*keys, lo.alias("_lo"), hi.alias("_hi"), days.alias("_day"))
+    return cut.select(*keys, "_day", F.greatest("_lo", F.col("_day") * us).alias(start), F.least("_hi", (F.col("_day") + 1) * us).alias(end))
+
+
 def overlap_seconds(spans: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:
-    """Seconds of ``spans`` that lie in the merged ``windows``, per key."""
-    merged = merge_spans(windows, keys).select(*keys, F.col("start").alias("ws"), F.col("end").alias("we"))
-    both = spans.join(merged, keys).where((F.col("ws") < F.col("end")) & (F.col("we") > F.col("start")))
-    part = (_us(F.least("end", "we")) - _us(F.greatest("start", "ws"))) / 1e6
-    return both.groupBy(*keys).agg(F.sum(part).alias("seconds"))
+    """Seconds of ``spans`` that lie in the merged ``windows``, per key; both are cut by day, so that those of one day meet."""
+    merged = _by_day(merge_spans(windows, keys), keys, "start", "end").withColumnsRenamed({"start": "_ws", "end": "_we"})
+    both = _by_day(spans, keys, "start", "end").join(merged, [*keys, "_day"]).where("_ws < end and _we > start")
+    return both.groupBy(*keys).agg((F.sum(F.least("end", "_we") - F.greatest("start", "_ws")) / 1e6).alias("seconds"))
 
 
 def union_trades(primary: DataFrame, secondary: DataFrame, keys: list[str], id_: str = "trade_id", order: str = "seq") -> DataFrame:
@@ -121,8 +129,10 @@ def union_counts(primary: DataFrame, secondary: DataFrame, keys: list[str], id_:
 def id_gaps(rows: DataFrame, keys: list[str], id_: str = "trade_id", ts: str = "ts", order: str = "seq") -> DataFrame:
     """Holes in dense ids: after_id, before_id, missing, and the stamps around them, the earlier first."""
     first = rows.groupBy(*keys, id_).agg(F.min_by(ts, order).alias("t"))
-    w = W.partitionBy(*keys).orderBy(id_)
-    out = first.select(*keys, F.col(id_).alias("after_id"), F.lead(id_).over(w).alias("before_id"), F.col("t").alias("a"), F.lead("t").over(w).alias("b")).where(F.col("before_id") > F.col("after_id") + 1)
+    from tidewright.operators.buckets import neighbour
+
+    out = neighbour(first, keys, id_, F.struct(F.col(id_).alias("i"), "t"), "next", 1)
+    out = out.select(*keys, F.col(id_).alias("after_id"), F.col("next.i").alias("before_id"), F.col("t").alias("a"), F.col("next.t").alias("b")).where(F.col("before_id") > F.col("after_id") + 1)
     return out.select(*keys, "after_id", "before_id", (F.col("before_id") - F.col("after_id") - 1).alias("missing"), F.least("a", "b").alias("ts_lo"), F.greatest("a", "b").alias("ts_hi"))
 
 

@@ -1,4 +1,4 @@
-"""As-of alignment without look-ahead, by one union and one window, never a range join.
+"""As-of alignment without look-ahead, by a union, a window in each day and a carry from day to day, never a range join.
 
 A source row that holds null replaces what was carried before it: the carried
 value is a struct, so a null inside it is kept. Of source rows with one stamp
@@ -21,8 +21,12 @@ def asof_backward(grid: DataFrame, source: DataFrame, keys: list[str], values: l
     held = F.struct(*[F.col(v) for v in values], F.col(ts).alias("src_ts"))
     a = source.select(*keys, ts, F.lit(1 if strict else 0).alias("_side"), (F.col(order) if order else F.lit(0)).cast("long").alias("_order"), held.alias("_held"), *[F.lit(None).cast(grid.schema[c].dataType).alias(c + "_g") for c in extra])
     b = grid.select(*keys, ts, F.lit(0 if strict else 1).alias("_side"), F.lit(0).cast("long").alias("_order"), F.lit(None).cast(a.schema["_held"].dataType).alias("_held"), *[F.col(c).alias(c + "_g") for c in extra])
-    w = W.partitionBy(*keys).orderBy(ts, "_side", "_order").rowsBetween(W.unboundedPreceding, 0)
-    out = a.unionByName(b).withColumn("_held", F.last("_held", ignorenulls=True).over(w)).where(F.col("_side") == (0 if strict else 1))
+    rows = a.unionByName(b).withColumn("_day", F.date_trunc("day", ts))
+    newest = F.max(F.when(F.col("_held").isNotNull(), F.struct(F.col(ts).alias("t"), F.col("_order").alias("o"), F.col("_held").alias("h"))))
+    days = rows.groupBy(*keys, "_day").agg(newest.alias("_carry"))  # a row per day: what it hands on
+    days = days.withColumn("_carry", F.last("_carry", ignorenulls=True).over(W.partitionBy(*keys).orderBy("_day").rowsBetween(W.unboundedPreceding, -1)))
+    w = W.partitionBy(*keys, "_day").orderBy(ts, "_side", "_order").rowsBetween(W.unboundedPreceding, 0)
+    out = rows.join(days, [*keys, "_day"]).withColumn("_held", F.coalesce(F.last("_held", ignorenulls=True).over(w), F.col("_carry.h"))).where(F.col("_side") == (0 if strict else 1))
     return out.select(*keys, ts, *[F.col(c + "_g").alias(c) for c in extra], *[F.col(f"_held.{v}").alias(v) for v in values], F.col("_held.src_ts").alias("src_ts"))
 
 

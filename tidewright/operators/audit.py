@@ -16,10 +16,13 @@ def segments(df: DataFrame, keys: list[str], ok: str, seconds: int, ts: str = "t
     return run.groupBy(*keys, "_g").agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count(F.lit(1)).alias("rows")).drop("_g")
 
 
-def longest_segment(df: DataFrame, keys: list[str], ok: str, seconds: int, ts: str = "ts") -> DataFrame:
-    """Each key's longest run, the latest on ties."""
+def clean_segment(df: DataFrame, keys: list[str], ok: str, seconds: int, floor: int | None = None, ts: str = "ts") -> DataFrame:
+    """Each key's newest run of more than ``floor`` rows; without one, or without a floor, its longest, the first of equals."""
     s = segments(df, keys, ok, seconds, ts)
-    best = s.groupBy(*keys).agg(F.max(F.struct("rows", "start", "end")).alias("b"))
+    enough = F.lit(False) if floor is None else F.col("rows") > floor
+    at = F.unix_micros(F.col("start").cast("timestamp"))
+    rank = F.struct(enough.alias("a"), F.when(enough, at).otherwise(F.col("rows")).alias("b"), (-at).alias("c"))
+    best = s.groupBy(*keys).agg(F.max_by(F.struct("start", "end", "rows"), rank).alias("b"))
     return best.select(*keys, "b.start", "b.end", "b.rows")
 
 

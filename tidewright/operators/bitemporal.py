@@ -12,6 +12,11 @@ def knowable_at(ended: str, server: str):
     return F.greatest(F.col(ended), F.col(server) + F.expr("interval 1 second"))
 
 
+def _months(spans: DataFrame) -> DataFrame:
+    """A row for each month that a span (first_day, last_day) touches."""
+    return spans.withColumn("_m", F.explode(F.expr("sequence(date_trunc('month', first_day), date_trunc('month', last_day), interval 1 month)")))
+
+
 def derive_versions(cells: DataFrame, observations: DataFrame) -> DataFrame:
     """Versions of each (series, day).
 
@@ -28,7 +33,8 @@ def derive_versions(cells: DataFrame, observations: DataFrame) -> DataFrame:
     obs = obs.withColumn("nth", F.row_number().over(every)).withColumn("high", F.max("last_day").over(every.rowsBetween(W.unboundedPreceding, -1)))
     days = cells.groupBy("series", "day").agg(F.min("position").alias("born"))
     spans = obs.where("evidence").select("series", "position", "first_day", "last_day")
-    absent = days.join(spans, "series").where("position > born and day between first_day and last_day").select("series", "position", "day").join(cells, ["series", "position", "day"], "left_anti").withColumn("token", F.lit(None).cast("string"))
+    month = F.date_trunc("month", "day")  # spans and days of one month meet
+    absent = days.withColumn("_m", month).join(_months(spans), ["series", "_m"]).where("position > born and day between first_day and last_day").select("series", "position", "day").join(cells, ["series", "position", "day"], "left_anti").withColumn("token", F.lit(None).cast("string"))
     rows = cells.select("series", "position", "day", "token").unionByName(absent)
     w = W.partitionBy("series", "day").orderBy("position")
     before = w.rowsBetween(W.unboundedPreceding, -1)
@@ -56,7 +62,7 @@ def as_of(versions: DataFrame, coverage: DataFrame, at) -> DataFrame:
     current = ranked.groupBy("series", "day").agg(F.max_by(F.struct("position", "next_position", "kind", "token"), "position").alias("v")).select("series", "day", "v.*")
     unbroken = F.col("days") == F.datediff("last_day", "first_day") + 1
     held = coverage.where((F.col("knowable_at") <= at) & (F.col("evidence") | unbroken)).select("series", F.col("position").alias("p"), "first_day", "last_day", "ended_at")
-    met = current.join(held, "series").where("p >= position and (next_position is null or p < next_position) and day between first_day and last_day")
+    met = current.withColumn("_m", F.date_trunc("month", "day")).join(_months(held), ["series", "_m"]).where("p >= position and (next_position is null or p < next_position) and day between first_day and last_day")
     last = met.groupBy("series", "day").agg(F.max_by("ended_at", "p").alias("last_seen_at"))
     return current.join(last, ["series", "day"], "left").drop("next_position")
 

@@ -1,124 +1,160 @@
 """Execution simulation: resting orders against the tape, with a queue ahead of them.
 
-A simulation runs per book (keyed by pair and run) as a grouped map. Its clock
-is the book's one-second grid. At every posting stamp four orders rest at the
-touch, two sizes on either side, each behind the quantity that the level
-shows. A print that trades through an order's price meets it in full; one at
-its price meets the queue first. An order fills whole or not at all. The queue
-is capped by the level as the boundary before showed it. An order away from
-its side's best by a tick or more for ``cancel_after`` seconds in a row, or
-older than ``horizon``, is cancelled.
+At every posting second four orders rest at the touch, two sizes on either
+side, each behind the quantity that the level shows. A print that trades
+through an order's price meets it in full; one at its price meets the queue
+first. An order fills whole or not at all. The queue is capped by the level as
+the boundary before showed it. An order away from its side's best by a tick or
+more for ``cancel_after`` seconds in a row, or older than ``horizon``, is
+cancelled.
+
+What becomes of an order depends only on what comes after its post, so orders
+are simulated by (book, hour of the post) with the seconds and prints of the
+hours that they can reach, and each order is evaluated from arrays: with Q the
+quantity printed at its price so far, the queue before a print is what is left
+of the least of (cap + Q at the cap) over the caps so far, less Q.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FILLS = (
     "posted long, side string, size int, price double, our_qty double, queue_ahead double, mid_at_post double, spread_bps double, "
-    "filled boolean, time_to_fill double, cancelled_after double, mid_after double"
+    "filled boolean, time_to_fill double, cancelled_after double, mid_after double, mid_after_fill double"
 )
+HOUR = 3600
+
+
+class _Frames:
+    """A book's seconds and prints as arrays."""
 
+    def __init__(self, books, trades, tick: float | None, every: int, stale: float):
+        import numpy as np
+
+        books = books.sort_values("second", kind="stable")
+        trades = trades.sort_values(["us", "seq"], kind="stable")
+        self.second = books["second"].to_numpy(np.int64)
+        self.sides = {}
+        for side, worst in (("bid", -np.inf), ("ask", np.inf)):
+            levels = books[f"{side}s"].tolist()
+            count = np.array([len(x) for x in levels], np.int64)
+            price = np.array([y["price"] for x in levels for y in x], float)
+            qty = np.array([y["qty"] for x in levels for y in x], float)
+            first = np.concatenate([[0], np.cumsum(count)])[:-1]
+            best = np.where(count > 0, price[np.minimum(first, max(0, len(price) - 1))] if len(price) else worst, np.nan)
+            row = np.repeat(np.arange(len(count)), count)
+            self.sides[side] = {"best": best, "by": np.lexsort((row, price)), "price": price, "qty": qty, "row": row, "levels": levels}
+        bid, ask = self.sides["bid"]["best"], self.sides["ask"]["best"]
+        self.mid = (bid + ask) / 2
+        self.fresh = np.flatnonzero(~np.isnan(self.mid) & (books["stale_seconds"].to_numpy(float) <= stale))
+        self.posts = self.fresh[self.second[self.fresh] % every == 0]
+        grid = np.flatnonzero(self.second % every == 0)
+        own = np.array([self._gap(i) if tick is None else tick for i in grid], float)
+        at = np.searchsorted(grid, np.arange(len(self.second)), side="right") - 1
+        self.tick = np.where(at >= 0, own[np.maximum(at, 0)] if len(own) else 0.0, 0.0 if tick is None else tick)
+        self.prints = {}
+        for side, taker in (("bid", "sell"), ("ask", "buy")):
+            some = trades[trades["side"] == taker]
+            self.prints[side] = (some["us"].to_numpy(np.int64), some["price"].to_numpy(float), some["qty"].to_numpy(float))
+
+    def _gap(self, i: int) -> float:
+        """The least gap between neighbouring levels of a second's book, the tick's proxy."""
+        gaps = [abs(a["price"] - b["price"]) for s in ("bid", "ask") for a, b in zip(self.sides[s]["levels"][i], self.sides[s]["levels"][i][1:])]
+        return min(gaps, default=0.0)
+
+    def level(self, side: str, price: float, lo: int, hi: int):
+        """What rests at a price in the rows lo..hi."""
+        import numpy as np
+
+        s, out = self.sides[side], np.zeros(hi - lo)
+        sorted_price = s["price"][s["by"]] if "sorted" not in s else s["sorted"]
+        s["sorted"] = sorted_price
+        at = s["by"][np.searchsorted(sorted_price, price, "left"): np.searchsorted(sorted_price, price, "right")]
+        rows = s["row"][at]
+        some = (rows >= lo) & (rows < hi)
+        out[rows[some] - lo] = s["qty"][at[some]]
+        return out
 
-@dataclass
-class Resting:
-    """An order and what the tape has met of it."""
-
-    posted: int
-    side: str
-    size: int
-    price: float
-    our_qty: float
-    ahead: float
-    mid: float
-    spread_bps: float
-    level: float = 0.0
-    met: float = 0.0
-    filled: float | None = None
-    cancelled: int | None = None
-    away: int | None = None
-    mid_after: float | None = None
-
-    def meet(self, seconds: float, side: str, price: float, qty: float) -> None:
-        """One print of the tape; a sell may meet a bid, a buy an ask."""
-        if side != ("sell" if self.side == "bid" else "buy"):
-            return
-        beyond = self.price - price if self.side == "bid" else price - self.price
-        if beyond < 0:
-            return
-        queue = 0.0 if beyond > 0 else self.ahead
-        self.met += max(0.0, qty - queue)
-        if beyond == 0:
-            self.ahead = max(0.0, self.ahead - qty)
-        if self.met >= self.our_qty:
-            self.filled = seconds
-
-
-def _clock(order: Resting, second: int, best: float | None, level: float, tick: float, cancel_after: int, horizon: int) -> None:
-    order.ahead, order.level = min(order.ahead, order.level), level
-    off = best is None or (best != order.price and abs(best - order.price) >= tick - 1e-12)
-    order.away = (second if order.away is None else order.away) if off else None
-    if (order.away is not None and second - order.away >= cancel_after) or second - order.posted >= horizon:
-        order.cancelled = second
-
-
-def simulate_fills(books: DataFrame, trades: DataFrame, keys: list[str], notionals: tuple[float, float] = (100.0, 1_000.0), every: int = 60, tick: float = 0.1, cancel_after: int = 6, horizon: int = 300, stale: float = 30.0, read_after: int = 60) -> DataFrame:
+    def mid_from(self, second: float):
+        """The first fresh mid at or after a second; null where the data end."""
+        import numpy as np
+
+        i = int(np.searchsorted(self.second[self.fresh], second, side="left"))
+        return float(self.mid[self.fresh[i]]) if i < len(self.fresh) else None
+
+    def outcome(self, side: str, post: int, price: float, our_qty: float, cancel_after: int, horizon: int):
+        """(second of the fill, second of the cancel) of an order posted in row ``post``; null where there is none."""
+        import numpy as np
+
+        start = int(self.second[post])
+        end = int(np.searchsorted(self.second, start + horizon, side="right"))
+        rows = np.arange(post + 1, end)
+        second = self.second[rows]
+        best = self.sides[side]["best"][rows]
+        away = np.isnan(best) | ((best != price) & (np.abs(best - price) >= self.tick[rows] - 1e-12))
+        since = np.maximum.accumulate(np.where(away & ~np.concatenate([[False], away[:-1]]), second, 0)) if len(rows) else second
+        over = np.flatnonzero((away & (second - since >= cancel_after)) | (second - start >= horizon))
+        cancel = int(second[over[0]]) if len(over) else None
+        us, paid, qty = self.prints[side]
+        sign = 1.0 if side == "bid" else -1.0
+        last = (cancel if cancel is not None else int(self.second[-1])) * 1_000_000
+        a, z = np.searchsorted(us, [start * 1_000_000, last], side="right")
+        met = np.arange(a, z)
+        met = met[sign * (price - paid[met]) >= 0]
+        at_price = paid[met] == price
+        here = np.where(at_price, qty[met], 0.0)
+        before = np.cumsum(here) - here  # printed at the price before each print
+        level = self.level(side, price, post, end)
+        caps = np.concatenate([[level[0]], level[: len(rows)]])  # at the post, then at each boundary the level of the one before
+        when = np.concatenate([[start], second])
+        printed = np.concatenate([[0.0], np.cumsum(here)])[np.searchsorted(us[met], when * 1_000_000, side="right")]
+        bound = np.minimum.accumulate(caps + printed)
+        passed = np.searchsorted(when * 1_000_000, us[met], side="left") - 1  # boundaries before each print
+        queue = np.maximum(0.0, bound[passed] - before) if len(met) else before
+        taken = np.cumsum(np.where(at_price, np.maximum(0.0, qty[met] - queue), qty[met]))
+        hit = np.flatnonzero(taken >= our_qty)
+        return (us[met[hit[0]]] / 1e6, None) if len(hit) else (None, cancel)
+
+
+def simulate_fills(books: DataFrame, trades: DataFrame, keys: list[str], notionals: tuple[float, float] = (100.0, 1_000.0), every: int = 60, tick: float | None = None, cancel_after: int = 6, horizon: int = 300, stale: float = 30.0, read_after: int = 60) -> DataFrame:
     """Orders posted every ``every`` seconds and what became of them (keys and FILLS).
 
     ``books``: keys, second, stale_seconds, bids, asks (as ``replay_panel``
     gives). ``trades``: keys, us (epoch microseconds), seq, side, price, qty.
-    Nothing is posted on a stale book. ``mid_after`` is the first fresh mid at
-    least ``read_after`` seconds past the post; it is null if the run ends before.
+    Nothing is posted on a stale book. ``tick`` is the least gap between levels
+    at the last posting second unless it is given. ``mid_after`` and
+    ``mid_after_fill`` are the first fresh mids at least ``read_after`` seconds
+    past the post and the fill; they are null if the data end before, or if
+    none is fresh within an hour.
     """
+    ahead = -(-(horizon + read_after) // HOUR) + 1  # hours that an hour's orders can reach into
 
     def run(key, books, trades):
         import pandas as pd
 
-        books = books.sort_values("second", kind="stable")
-        trades = trades.sort_values(["us", "seq"], kind="stable")
-        tape = list(zip(trades["us"] / 1e6, trades["side"], trades["price"], trades["qty"]))
-        at, open_, done, waiting = 0, [], [], []
-        for second, old, bids, asks in zip(books["second"].tolist(), books["stale_seconds"].tolist(), books["bids"], books["asks"]):
-            while at < len(tape) and tape[at][0] <= second:
-                for o in open_:
-                    if o.filled is None:
-                        o.meet(*tape[at])
-                at += 1
-            b = {x["price"]: x["qty"] for x in bids}
-            a = {x["price"]: x["qty"] for x in asks}
-            bid, ask = max(b, default=None), min(a, default=None)
-            for o in open_:
-                if o.filled is None:
-                    own, best = (b, bid) if o.side == "bid" else (a, ask)
-                    _clock(o, second, best, own.get(o.price, 0.0), tick, cancel_after, horizon)
-            done += [o for o in open_ if o.filled is not None or o.cancelled is not None]
-            open_ = [o for o in open_ if o.filled is None and o.cancelled is None]
-            fresh = bid is not None and ask is not None and old <= stale
-            if not fresh:
-                continue
-            mid = (bid + ask) / 2
-            for o in [o for o in waiting if second >= o.posted + read_after]:
-                o.mid_after = mid
-                waiting.remove(o)
-            if second % every == 0:
-                for side, price, own in (("bid", bid, b), ("ask", ask, a)):
+        names = [x.split()[0] for x in FILLS.split(", ")]
+        hour, rows = int(key[-1]), []
+        if len(books):
+            f = _Frames(books, trades, tick, every, stale)
+            for i in f.posts.tolist():
+                second, mid = int(f.second[i]), float(f.mid[i])
+                if second // HOUR != hour:
+                    continue
+                bid, ask = (f.sides[s]["best"][i] for s in ("bid", "ask"))
+                for side, price in (("ask", ask), ("bid", bid)):
+                    queue = float(f.level(side, price, i, i + 1)[0])
                     for size, notional in enumerate(notionals):
-                        o = Resting(second, side, size, price, notional / price, own[price], mid, (ask - bid) / mid * 1e4, level=own[price])
-                        open_.append(o)
-                        waiting.append(o)
-        rows = [(*key, o.posted, o.side, o.size, o.price, o.our_qty, None, o.mid, o.spread_bps, o.filled is not None, None if o.filled is None else o.filled - o.posted, None if o.cancelled is None else float(o.cancelled - o.posted), o.mid_after) for o in sorted(done + open_, key=lambda o: (o.posted, o.side, o.size))]
-        out = pd.DataFrame(rows, columns=[*keys, *[x.split()[0] for x in FILLS.split(", ")]])
-        shown = {(s, side): own for s, bids, asks in zip(books["second"], books["bids"], books["asks"]) for side, own in (("bid", bids), ("ask", asks))}
-        out["queue_ahead"] = [next((x["qty"] for x in shown[p, s] if x["price"] == price), None) for p, s, price in zip(out["posted"], out["side"], out["price"])]
-        return out
+                        fill, cancel = f.outcome(side, i, price, notional / price, cancel_after, horizon)
+                        rows.append((*key[:-1], second, side, size, price, notional / price, queue, mid, (ask - bid) / mid * 1e4, fill is not None, None if fill is None else fill - second, None if cancel is None else float(cancel - second), f.mid_from(second + read_after), None if fill is None else f.mid_from(fill + read_after)))
+        return pd.DataFrame(rows, columns=[*keys, *names])
 
+    reach = lambda second: F.explode(F.sequence(F.floor(second / HOUR) - ahead, F.floor(second / HOUR)))
     schema = ", ".join(f"{c} {books.schema[c].dataType.simpleString()}" for c in keys)
-    left = books.select(*keys, "second", "stale_seconds", "bids", "asks").groupBy(*keys)
-    right = trades.select(*keys, "us", "seq", "side", "price", "qty").groupBy(*keys)
-    return left.cogroup(right).applyInPandas(run, f"{schema}, {FILLS}")
+    left = books.select(*keys, "second", "stale_seconds", "bids", "asks").withColumn("hour", reach(F.col("second")))
+    right = trades.select(*keys, "us", "seq", "side", "price", "qty").withColumn("hour", reach(F.col("us") / 1_000_000))
+    return left.groupBy(*keys, "hour").cogroup(right.groupBy(*keys, "hour")).applyInPandas(run, f"{schema}, {FILLS}")
 
 
 def side_costs(fills: DataFrame, maker_fee: float, taker_fee: float, exit_price: str = "mid_after") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -54,10 +54,18 @@ def weekly_drift(df: DataFrame, value: str, ts: str = "ts", days: int = 7) -> Da
     return out.agg(F.count(F.lit(1)).alias("rows"), F.avg(value).alias("mean"), F.max(F.abs(value)).alias("worst"), (F.count_distinct(F.to_date(ts)) < days).alias("partial"))
 
 
-def size_order(quantity, step, minimum):
-    """A quantity floored to its step; 0 below the minimum."""
-    floored = F.floor(quantity / step) * step
-    return F.when(floored >= minimum, floored).otherwise(F.lit(0))
+def floor_to_step(value: Column, step: Column) -> Column:
+    """A value floored to a multiple of its step, in decimals, as both are quoted."""
+    v, s = (x.cast("string").cast("decimal(28,10)") for x in (value, step))
+    return (v - F.pmod(v, s)).cast("double")
+
+
+def size_order(quantity: Column, price: Column, least_qty: Column, least_value: Column, step: Column, tick: Column) -> Column:
+    """struct(qty, price, notional, reason): both floored to their steps; no quantity, and why, where a floor of the venue is not met after that."""
+    qty, at = floor_to_step(quantity, step), floor_to_step(price, tick)
+    reason = F.when(qty < least_qty, "quantity").when(qty * at < least_value, "notional")
+    ok = reason.isNull()
+    return F.struct(F.when(ok, qty).alias("qty"), F.when(ok, at).alias("price"), F.when(ok, qty * at).alias("notional"), reason.alias("reason"))
 
 
 def compare_targets(left: DataFrame, right: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:

@@ -72,13 +72,26 @@ def whole_book_limits(df: DataFrame, w: str = "w", long_cap=0.20, short_cap=0.10
     return out.select(*[c for c in df.columns if c != w], F.col("_4").alias(w), *moved)
 
 
-def rank_tilt(df: DataFrame, w: str, rank: str, strength: float, out: str, bar: list[str] = BAR) -> DataFrame:
-    """Long weights times 1 + strength * rank, not below 0, rescaled to the bar's old long sum; shorts as they are."""
+def rank_tilt(df: DataFrame, w: str, direction: str, score: str, strength: float, floor: int, out: str, bar: list[str] = BAR) -> DataFrame:
+    """Weights times 1 + strength * centred rank for a bar's longs, rescaled to their old sum.
+
+    The basket, which is ranked, is every asset with a weight above 0 and a
+    score. Bars with fewer than ``floor`` of them, or with fewer than two longs
+    (direction above 0) among them, keep their weights, and so do all others.
+    """
+    from tidewright.operators.series import centred_ranks
+
     over = _bar(bar)
-    tilted = F.when(F.col(w) > 0, F.greatest(F.lit(0.0), F.col(w) * (1 + strength * F.col(rank)))).otherwise(F.col(w))
-    old = F.sum(F.greatest(F.col(w), F.lit(0.0))).over(over)
-    new = F.sum(F.greatest(F.col("_t"), F.lit(0.0))).over(over)
-    return df.withColumn("_t", tilted).withColumn(out, F.when((F.col("_t") > 0) & (new > 0), F.col("_t") * old / new).otherwise(F.col("_t"))).drop("_t")
+    inside = F.coalesce((F.col(w) > 0) & F.col(score).isNotNull(), F.lit(False))
+    named = "_".join(["basket", *df.columns])  # no column of the input has these names
+    z, raw = f"z{named}", f"raw{named}"
+    rows = df.withColumn(named, inside).withColumn(z, centred_ranks(score, [*bar, named]))
+    long_ = F.col(named) & F.coalesce(F.col(direction) > 0, F.lit(False))
+    rows = rows.withColumn(raw, F.when(long_, F.col(w) * (1 + strength * F.col(z))))
+    old, new = F.sum(F.when(F.col(raw).isNotNull(), F.col(w))).over(over), F.sum(raw).over(over)
+    ranked, longs = F.sum(F.col(named).cast("int")).over(over), F.count(raw).over(over)
+    tilted = F.when(F.col(raw).isNotNull() & (ranked >= floor) & (longs >= 2), F.col(raw) * (old / new)).otherwise(F.col(w))
+    return rows.withColumn(out, tilted).drop(named, z, raw)
 
 
 def turnover(df: DataFrame, w: str = "w", key: str = "asset", bar: list[str] = BAR) -> DataFrame:
@@ -96,11 +109,15 @@ def net_of_cost(df: DataFrame, w: str, ret: str, cost_rate: float, key: str = "a
     return out.withColumn("net", F.col("gross") - cost_rate * F.col("turnover"))
 
 
-def structural_metrics(df: DataFrame, w: str = "w", bar: list[str] = BAR, cap: float = 0.20) -> DataFrame:
-    """Per bar: gross, net, active assets, concentration and whether a weight is over ``cap``."""
+def structural_metrics(df: DataFrame, w: str = "w", bar: list[str] = BAR, key: str = "asset", long_cap: float = 0.20, short_cap: float = 0.10) -> DataFrame:
+    """Per bar: gross, net, the share of active assets, turnover from the bar before (from flat), concentration, and whether a weight is past its side's cap."""
+    prev = F.coalesce(F.lag(w).over(W.partitionBy(key).orderBy(*bar)), F.lit(0.0))
+    change = "_".join(["change", *df.columns])
+    rows = df.withColumn(change, F.abs(F.col(w) - prev))
     gross = F.sum(F.abs(w))
-    share = F.sum(F.col(w) * F.col(w)) / (gross * gross)
-    return df.groupBy(*bar).agg(gross.alias("gross"), F.sum(w).alias("net"), F.count_if(F.col(w) != 0).alias("active"), F.when(gross > 0, share).alias("hhi"), F.max(F.abs(w) > cap).alias("breach"))
+    hhi = F.when(gross > 1e-12, F.sum(F.col(w) * F.col(w)) / (gross * gross)).otherwise(0.0)
+    over = (F.col(w) > long_cap + 1e-12) | (F.col(w) < -short_cap - 1e-12)
+    return rows.groupBy(*bar).agg(gross.alias("gross"), F.sum(w).alias("net"), F.avg((F.abs(w) > 1e-9).cast("double")).alias("active"), F.sum(change).alias("turnover"), hhi.alias("hhi"), F.max(over).alias("breach"))
 
 
 def base_exposures(legs: DataFrame) -> DataFrame:

@@ -1,18 +1,21 @@
 """Order books from level rows: messages, replay with depth pruning, one-second panels.
 
 Level rows hold absolute quantities and arrive in ``seq`` order, which is data:
-nothing here sorts by stamp. Replay is a grouped map per book; key it by pair
-and contiguous run so that one run fits a task.
+nothing here sorts by stamp. Replay is a grouped map per run of messages from
+one snapshot to the next.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewright.operators import buckets
+
 DEPTHS = (1, 5, 10)
 NOTIONALS = (100.0, 1_000.0, 10_000.0)
 PANEL = ["spread", "spread_bps", "mid", "microprice", "imbalance_l1"]
@@ -20,43 +23,57 @@ PANEL = ["spread", "spread_bps", "mid", "microprice", "imbalance_l1"]
 
 def regroup_messages(rows: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
     """One row per message: consecutive rows with equal (ts, type, checksum), their levels in order."""
-    w = W.partitionBy(*keys).orderBy(order)
     mark = F.struct("ts", "type", "checksum")
-    new = F.when(F.lag(mark).over(w).eqNullSafe(mark), 0).otherwise(1)
-    numbered = rows.withColumn("_new", new).withColumn("message", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    before = buckets.neighbour(rows, keys, order, mark, "before", -1)
+    numbered = buckets.running_sum(before, keys, order, F.when(F.col("before").eqNullSafe(mark), 0).otherwise(1), "message")
     levels = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "side", "price", "qty")))
     side = lambda s: F.transform(F.filter("levels", lambda x: x["side"] == s), lambda x: F.struct(x["price"].alias("price"), x["qty"].alias("qty")))
     out = numbered.groupBy(*keys, "message", "ts", "type", "checksum").agg(levels.alias("levels"), F.min(order).alias(order))
     return out.select(*keys, "message", order, "ts", "type", "checksum", side("bid").alias("bids"), side("ask").alias("asks"))
 
 
+class Side:
+    """One side of a book as sorted arrays: ``rank`` holds prices best first (bids negated), ``size`` what rests there."""
+
+    def __init__(self, sign: int):
+        self.sign, self.rank, self.size = sign, [], []
+
+    def put(self, levels, depth: int) -> None:
+        """Set levels to their quantities, 0 for none, and keep the best ``depth``."""
+        for price, qty in levels:
+            i = bisect_left(self.rank, self.sign * price)
+            there = i < len(self.rank) and self.rank[i] == self.sign * price
+            new = [] if qty == 0 else [(self.sign * price, qty)]
+            self.rank[i: i + there] = [r for r, _ in new]
+            self.size[i: i + there] = [q for _, q in new]
+        del self.rank[depth:], self.size[depth:]
+
+    def levels(self) -> list[tuple[float, float]]:
+        return [(self.sign * r, q) for r, q in zip(self.rank, self.size)]
+
+
 class Book:
-    """Price to quantity on either side, held to ``depth`` levels.
+    """Two sides held to ``depth`` levels.
 
     A level pushed out of the window is forgotten: the venue no longer reports
     on it, so it may only come back by being sent again.
     """
 
     def __init__(self, depth: int):
-        self.depth, self.bids, self.asks = depth, {}, {}
+        self.depth, self.bids, self.asks = depth, Side(-1), Side(1)
 
-    def apply(self, kind: str, bids, asks) -> None:
+    def read(self, kind: str, bids, asks) -> None:
         if kind == "snapshot":
-            self.bids, self.asks = {}, {}
-        for side, levels in ((self.bids, bids), (self.asks, asks)):
-            for price, qty in levels:
-                if qty == 0:
-                    side.pop(price, None)
-                else:
-                    side[price] = qty
-        for side, best in ((self.bids, -1), (self.asks, 1)):
-            if len(side) > self.depth:
-                for price in sorted(side, key=lambda p: best * p)[self.depth:]:
-                    del side[price]
+            self.bids, self.asks = Side(-1), Side(1)
+        self.bids.put(bids, self.depth)
+        self.asks.put(asks, self.depth)
+
+    def both(self) -> bool:
+        return bool(self.bids.rank and self.asks.rank)
 
     def ladder(self):
         """(bids, asks), best first."""
-        return sorted(self.bids.items(), reverse=True), sorted(self.asks.items())
+        return self.bids.levels(), self.asks.levels()
 
 
 def checksum_text(levels, price_digits: int, qty_digits: int) -> str:
@@ -70,44 +87,58 @@ def checksum(book: Book, price_digits: int, qty_digits: int) -> int:
     return zlib.crc32((checksum_text(asks, price_digits, qty_digits) + checksum_text(bids, price_digits, qty_digits)).encode())
 
 
+def runs(messages: DataFrame, keys: list[str]) -> DataFrame:
+    """``messages`` with us (their stamp) and run: how many snapshots came up to each. A snapshot states the whole book, so runs can be replayed apart."""
+    rows = messages.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    return buckets.running_sum(rows, keys, "seq", (F.col("type") == "snapshot").cast("long"), "run")
+
+
+def _pairs(levels) -> list[tuple[float, float]]:
+    return [(x["price"], x["qty"]) for x in levels]
+
+
 def replay_panel(messages: DataFrame, keys: list[str], depth: int = 100) -> DataFrame:
-    """The book at every second from the first message to the last: keys, ts (epoch seconds), updates, stale_seconds, bids, asks.
+    """The book at every second from the first snapshot to the last message: keys, second, updates, stale_seconds, bids, asks.
 
     The row of second T has all messages stamped at or before T; ``updates``
     counts those since T - 1; seconds with an empty side have no row, and none
-    comes before the first snapshot.
+    comes before the first snapshot. Replay is a grouped map per run from one
+    snapshot to the next.
     """
+    rows = runs(messages, keys).where("run > 0")
+    spans = rows.groupBy(*keys, "run").agg(F.min_by("us", "seq").alias("from_us"), F.max("us").alias("to_us"))
+    every = W.partitionBy(*keys).orderBy("run")  # a row per snapshot
+    last = F.ceil(F.max("to_us").over(W.partitionBy(*keys)) / 1_000_000) * 1_000_000
+    spans = spans.select(*keys, "run", F.coalesce(F.lead("from_us").over(every) - 1, last).alias("until_us"))
+    counts = rows.groupBy(*keys, F.ceil(F.col("us") / 1_000_000).cast("long").alias("second")).agg(F.count(F.lit(1)).alias("updates"))
 
     def run(pdf):
+        import numpy as np
         import pandas as pd
 
         pdf = pdf.sort_values("seq", kind="stable")
-        book, rows, count, last, anchored = Book(depth), [], 0, None, False
-        stamps = pdf["us"].to_numpy()
-        if not len(pdf):
-            return pd.DataFrame(columns=[*keys, "second", "updates", "stale_seconds", "bids", "asks"])
-        i, second, stop = 0, -(-int(stamps[0]) // 1_000_000), -(-int(stamps[-1]) // 1_000_000)
+        us = pdf["us"].to_numpy()
+        grid = np.arange(-(-int(us[0]) // 1_000_000), int(pdf["until_us"].iloc[0]) // 1_000_000 + 1)
+        upto = np.searchsorted(np.maximum.accumulate(us), grid * 1_000_000, side="right")  # messages at or before each second
+        book, done, out = Book(depth), 0, []
         kinds, bids, asks = pdf["type"].tolist(), pdf["bids"].tolist(), pdf["asks"].tolist()
-        while second <= stop:
-            while i < len(stamps) and stamps[i] <= second * 1_000_000:
-                anchored = anchored or kinds[i] == "snapshot"
-                if anchored:
-                    book.apply(kinds[i], [(x["price"], x["qty"]) for x in bids[i]], [(x["price"], x["qty"]) for x in asks[i]])
-                    last, count = int(stamps[i]), count + 1
-                i += 1
-            if book.bids and book.asks:
+        for second, stop in zip(grid.tolist(), upto.tolist()):
+            for i in range(done, stop):
+                book.read(kinds[i], _pairs(bids[i]), _pairs(asks[i]))
+            done = max(done, stop)
+            if book.both():
                 b, a = book.ladder()
-                rows.append((second, count, (second * 1_000_000 - last) / 1e6, [{"price": p, "qty": q} for p, q in b], [{"price": p, "qty": q} for p, q in a]))
-            count, second = 0, second + 1
-        out = pd.DataFrame(rows, columns=["second", "updates", "stale_seconds", "bids", "asks"])
+                out.append((second, second - int(us[done - 1]) / 1e6, [{"price": p, "qty": q} for p, q in b], [{"price": p, "qty": q} for p, q in a]))
+        out = pd.DataFrame(out, columns=["second", "stale_seconds", "bids", "asks"])
         for k in reversed(keys):
             out.insert(0, k, pdf[k].iloc[0])
         return out
 
     level = "array<struct<price:double,qty:double>>"
     schema = ", ".join(f"{c} {messages.schema[c].dataType.simpleString()}" for c in keys)
-    rows = messages.select(*keys, "seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "type", "bids", "asks")
-    return rows.groupBy(*keys).applyInPandas(run, f"{schema}, second long, updates long, stale_seconds double, bids {level}, asks {level}")
+    fed = rows.join(spans, [*keys, "run"]).select(*keys, "run", "seq", "us", "until_us", "type", "bids", "asks")
+    panel = fed.groupBy(*keys, "run").applyInPandas(run, f"{schema}, second long, stale_seconds double, bids {level}, asks {level}")
+    return panel.join(counts, [*keys, "second"], "left").select(*keys, "second", F.coalesce("updates", F.lit(0)).alias("updates"), "stale_seconds", "bids", "asks")
 
 
 def fill_bps(levels: Column, notional: float, mid: Column, buy: bool) -> Column:
@@ -143,7 +174,11 @@ def sample_rows(books: DataFrame) -> DataFrame:
 
 
 def replay_errors(messages: DataFrame, keys: list[str], depth: int, price_digits: int, qty_digits: int) -> DataFrame:
-    """Per book: messages, checksum mismatches, and whether it opens with a snapshot (its anchor)."""
+    """Per book: messages, checksum mismatches, and whether it opens with a snapshot (its anchor).
+
+    Runs from one snapshot to the next are replayed apart; messages before the
+    first one stand on an empty book.
+    """
 
     def run(pdf):
         import pandas as pd
@@ -151,13 +186,14 @@ def replay_errors(messages: DataFrame, keys: list[str], depth: int, price_digits
         pdf = pdf.sort_values("seq", kind="stable")
         book, wrong = Book(depth), 0
         for kind, b, a, want in zip(pdf["type"], pdf["bids"], pdf["asks"], pdf["checksum"]):
-            book.apply(kind, [(x["price"], x["qty"]) for x in b], [(x["price"], x["qty"]) for x in a])
+            book.read(kind, _pairs(b), _pairs(a))
             wrong += int(checksum(book, price_digits, qty_digits) != want)
-        row = {**{k: pdf[k].iloc[0] for k in keys}, "messages": len(pdf), "errors": wrong, "anchored": pdf["type"].iloc[0] == "snapshot"}
-        return pd.DataFrame([row])
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "run": pdf["run"].iloc[0], "messages": len(pdf), "errors": wrong}])
 
     schema = ", ".join(f"{c} {messages.schema[c].dataType.simpleString()}" for c in keys)
-    return messages.groupBy(*keys).applyInPandas(run, f"{schema}, messages long, errors long, anchored boolean")
+    rows = runs(messages, keys).select(*keys, "run", "seq", "type", "checksum", "bids", "asks")
+    per = rows.groupBy(*keys, "run").applyInPandas(run, f"{schema}, run long, messages long, errors long")
+    return per.groupBy(*keys).agg(F.sum("messages").alias("messages"), F.sum("errors").alias("errors"), (F.min("run") > 0).alias("anchored"))
 
 
 def chain_anchor(hours: DataFrame, keys: list[str], hour: str = "hour") -> DataFrame:

@@ -19,9 +19,14 @@ def clean_segments(spark, sf):
     return audit.segments(h1(spark, sf), ["pair"], "count >= 2", 3600)
 
 
-@query("longest_segment", f"{_H1}, {_SEG}, r AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY rows DESC, start DESC) AS n FROM sg) SELECT pair, start, \"end\", rows FROM r WHERE n = 1")
+@query("clean_segment", f"{_H1}, {_SEG}, r AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY (rows > 5) DESC, CASE WHEN rows > 5 THEN epoch_us(start) ELSE rows END DESC, start) AS n FROM sg) SELECT pair, start, \"end\", rows FROM r WHERE n = 1")
+def clean_segment(spark, sf):
+    return audit.clean_segment(h1(spark, sf), ["pair"], "count >= 2", 3600, floor=5)
+
+
+@query("longest_segment", f"{_H1}, {_SEG}, r AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY rows DESC, start) AS n FROM sg) SELECT pair, start, \"end\", rows FROM r WHERE n = 1")
 def longest_segment(spark, sf):
-    return audit.longest_segment(h1(spark, sf), ["pair"], "count >= 2", 3600)
+    return audit.clean_segment(h1(spark, sf), ["pair"], "count >= 2", 3600)
 
 
 @query("gate_streak", f"""{_H4}, n AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY ts) AS r FROM bars) SELECT pair, ts, r - coalesce(max(CASE WHEN NOT count >= 9 THEN r END) OVER (PARTITION BY pair ORDER BY ts ROWS UNBOUNDED PRECEDING), 0) AS streak FROM n""")

@@ -269,15 +269,15 @@ def id_summary(spark, sf):
     return archive.id_summary(_trades(spark, sf, "true"), ["pair"])
 
 
-@query("canonical_segments", """WITH s AS (SELECT event_type AS pair, date_trunc('hour', ts) AS h, event_id, ts FROM events), p AS (SELECT * FROM s WHERE event_id % 2 = 0), o AS (SELECT * FROM s WHERE event_id % 5 = 1)
+@query("canonical_segments", """WITH s AS (SELECT event_type AS pair, date_trunc('hour', ts) AS h, event_id, ts FROM events), p AS (SELECT * FROM s WHERE event_id % 5 <> 1), o AS (SELECT * FROM s WHERE event_id % 5 = 1)
 SELECT pair, h, event_id FROM o UNION ALL SELECT pair, h, event_id FROM p WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.pair = p.pair AND o.h = p.h)""")
 def canonical_segments(spark, sf):
     s = table(spark, sf, "events").select(F.col("event_type").alias("pair"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("h"), "event_id")
-    return archive.canonical_segments(s.where("event_id % 2 = 0"), s.where("event_id % 5 = 1"), ["pair", "h"])
+    return archive.canonical_segments(s.where("event_id % 5 <> 1"), s.where("event_id % 5 = 1"), ["pair", "h"])
 
 
-@query("multiset_difference", """WITH l AS (SELECT l_returnflag AS f, l_quantity AS q FROM lineitem WHERE l_linenumber = 1), r AS (SELECT l_returnflag AS f, l_quantity AS q FROM lineitem WHERE l_linenumber = 2),
+@query("multiset_difference", """WITH l AS (SELECT l_returnflag AS f, l_quantity AS q FROM lineitem WHERE l_linenumber % 2 = 1), r AS (SELECT l_returnflag AS f, l_quantity AS q FROM lineitem WHERE l_linenumber % 2 = 0),
 u AS (SELECT f, q, 1 AS a, 0 AS b FROM l UNION ALL SELECT f, q, 0, 1 FROM r) SELECT f, q, sum(a)::BIGINT AS left_n, sum(b)::BIGINT AS right_n FROM u GROUP BY 1, 2 HAVING sum(a) <> sum(b)""")
 def multiset_difference(spark, sf):
-    side = lambda n: table(spark, sf, "lineitem").where(f"l_linenumber = {n}").select(F.col("l_returnflag").alias("f"), F.col("l_quantity").alias("q"))
-    return archive.multiset_difference(side(1), side(2), ["f", "q"])
+    side = lambda n: table(spark, sf, "lineitem").where(f"l_linenumber % 2 = {n}").select(F.col("l_returnflag").alias("f"), F.col("l_quantity").alias("q"))
+    return archive.multiset_difference(side(1), side(0), ["f", "q"])

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from tidewright.operators import overlays, series
 from tidewright.plans.bars_queries import _GRID, _grid
 from tidewright.plans.registry import query, rounded
-from tidewright.plans.series_queries import _BOOK, _RET, book
-from tidewright.plans.tables import DENSE, PANEL, TICKS, dense, panel, ticks
+from tidewright.plans.series_queries import _BOOK, _RET, book, book_of
+from tidewright.plans.tables import DENSE, PANEL, TICKS, WEEKLY, dense, panel, ticks, weekly
 
 
 @query("ratio_returns", f"WITH {PANEL}, a AS (SELECT k, close AS b FROM panel WHERE asset = '2-HIGH'), c AS (SELECT k, close AS q FROM panel WHERE asset = '5-LOW'), j AS (SELECT k, b, q FROM a JOIN c USING (k)) SELECT k, round((lead(b) OVER w / b - 1) * (lead(q) OVER w / q), 6) AS v FROM j WINDOW w AS (ORDER BY k)")
@@ -27,15 +27,22 @@ def derisked_book(spark, sf):
     return rounded(p.select("asset", "k", overlays.derisk("w", "z", 1.0, 0.5).alias("w")), ["w"])
 
 
-@query("short_overlay", f"WITH {PANEL}, {_RET}, {_BOOK}, l AS (SELECT *, sum(greatest(w, 0)) OVER (PARTITION BY k) AS g FROM bk) SELECT asset, k, round(CASE WHEN asset = '3-MEDIUM' AND k % 4 = 0 THEN w - 0.3 * g ELSE w END, 6) AS w FROM l")
+_SG = "sign(CASE WHEN k >= {0} THEN close / lag(close, {0}) OVER w - 1 ELSE 0 END)"
+_STATE = f"st AS (SELECT k, k >= 9 AND close < avg(close) OVER (PARTITION BY asset ORDER BY k ROWS 9 PRECEDING) * 0.98 AND ({_SG.format(2)} + {_SG.format(5)}) / 2.0 < 0 AS state FROM panel WHERE asset = '3-MEDIUM' WINDOW w AS (PARTITION BY asset ORDER BY k))"
+
+
+@query("short_overlay", f"WITH {WEEKLY}, {_RET}, {_BOOK}, {_STATE}, l AS (SELECT bk.*, coalesce(state, false) AS state, sum(greatest(w, 0)) OVER (PARTITION BY k) AS g FROM bk JOIN st USING (k)) SELECT asset, k, round(CASE WHEN asset = '3-MEDIUM' THEN greatest(0, w - CASE WHEN state THEN 0.3 * g ELSE 0 END) ELSE w END, 6) AS floored, round(CASE WHEN asset = '3-MEDIUM' THEN w - CASE WHEN state THEN 0.3 * g ELSE 0 END ELSE w END, 6) AS w FROM l")
 def short_overlay(spark, sf):
-    b = book(spark, sf).withColumn("on", F.col("k") % 4 == 0)
-    return rounded(overlays.short_overlay(b, "w", "3-MEDIUM", "on", 0.3).select("asset", "k", "w"), ["w"])
+    p = weekly(spark, sf)
+    b = book_of(p).join(overlays.short_state(p, "3-MEDIUM", 10, 0.02, (2, 5)), "k")
+    out = overlays.short_overlay(b, "w", "3-MEDIUM", "state", 0.3)
+    floored = overlays.short_overlay(b.withColumnRenamed("w", "floored"), "floored", "3-MEDIUM", "state", 0.3, borrow=False)
+    return rounded(out.select("asset", "k", "w").join(floored.select("asset", "k", "floored"), ["asset", "k"]), ["w", "floored"])
 
 
-@query("borrow_limited", f"WITH {PANEL}, {_RET}, {_BOOK}, s AS (SELECT *, sum(greatest(-w, 0)) OVER (PARTITION BY k) AS h FROM bk) SELECT asset, k, round(CASE WHEN w < 0 AND h > 0.4 THEN w * (0.4 / h) ELSE w END, 6) AS w FROM s")
+@query("borrow_limited", f"WITH {PANEL}, {_RET}, {_BOOK}, s AS (SELECT *, sum(w) FILTER (asset IN ('1-URGENT', '5-LOW')) OVER (PARTITION BY k) AS t, sum(greatest(w, 0)) FILTER (asset = '3-MEDIUM') OVER (PARTITION BY k) AS h FROM bk) SELECT asset, k, round(CASE WHEN asset IN ('1-URGENT', '5-LOW') AND t <> 0 THEN w * least(1, h / t) ELSE w END, 6) AS w FROM s")
 def borrow_limited(spark, sf):
-    return rounded(overlays.borrow_limited(book(spark, sf), "w", 0.4).select("asset", "k", "w"), ["w"])
+    return rounded(overlays.borrow_limited(book(spark, sf), "w", "3-MEDIUM", ["1-URGENT", "5-LOW"]).select("asset", "k", "w"), ["w"])
 
 
 @query("grid_feature", f"""WITH {TICKS}, {_GRID}, f AS (SELECT pair, ts, CASE WHEN count(price) OVER x = 5 THEN CASE WHEN min(price) OVER x = max(price) OVER x THEN 0 ELSE (price - avg(price) OVER x) / stddev_samp(price) OVER x END END AS v FROM ticks WINDOW x AS (PARTITION BY pair ORDER BY ts ROWS 4 PRECEDING)),
@@ -50,11 +57,13 @@ def held_blocks(spark, sf):
     return dense(spark, sf).select("asset", "k", overlays.hold_value("close", 7, series.by()).alias("v"))
 
 
-@query("volume_confirmation", f"""WITH {DENSE}, c AS (SELECT *, isodow(ts)::INT AS cell FROM panel), m AS (SELECT asset, k, close, median(close) OVER (PARTITION BY asset, cell ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS med,
- avg(close) OVER (PARTITION BY asset ORDER BY k ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS lv, avg(close) OVER (PARTITION BY asset ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bs FROM c) SELECT asset, k, coalesce(close > med * lv / bs, false) AS confirmed FROM m""")
+@query("volume_confirmation", f"""WITH {PANEL}, c AS (SELECT asset, k, close, isodow(ts)::INT AS cell, count(close) OVER (PARTITION BY asset ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM panel),
+o AS (SELECT *, CASE WHEN seen >= 15 THEN median(close) OVER (PARTITION BY asset ORDER BY k ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING) END AS level FROM c WHERE close IS NOT NULL),
+h AS (SELECT asset, k, close, level, median(close / level) OVER x AS shape, count(*) OVER x AS n FROM o WHERE level IS NOT NULL WINDOW x AS (PARTITION BY asset, cell ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT c.asset, c.k, c.seen < 15 OR coalesce(h.close >= h.level * CASE WHEN h.n >= 8 THEN h.shape ELSE 1 END, false) AS confirmed FROM c LEFT JOIN h USING (asset, k)""")
 def volume_confirmation(spark, sf):
-    df = dense(spark, sf).withColumn("cell", F.weekday("ts") + 1)
-    return overlays.volume_confirmation(df, "close", "cell", 20).select("asset", "k", "confirmed")
+    df = panel(spark, sf).withColumn("cell", F.weekday("ts") + 1)
+    return overlays.volume_confirmation(df, "close", "cell", 15, 8).select("asset", "k", "confirmed")
 
 
 @query("exits_per_year", f"""WITH {DENSE}, p AS (SELECT asset, k, ts, CASE WHEN k >= 29 AND close > avg(close) OVER (PARTITION BY asset ORDER BY k ROWS 29 PRECEDING) THEN 1 ELSE 0 END AS h FROM panel), x AS (SELECT asset, ts, lag(h) OVER (PARTITION BY asset ORDER BY k) <> 0 AND h = 0 AS e FROM p) SELECT asset, year(ts)::INT AS year, count(*) FILTER (e)::BIGINT AS exits FROM x GROUP BY 1, 2""")

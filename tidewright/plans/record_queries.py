@@ -78,10 +78,10 @@ def vintage_as_of(spark, sf):
     return bitemporal.as_of(versions(spark, sf), observations(spark, sf), F.expr("timestamp_ntz'2024-02-01 20:00:00'"))
 
 
-@query("changed_values", f"""WITH {_CELLS}, l AS (SELECT series, day, arg_min(token, position) AS t FROM cells WHERE position < 15 GROUP BY 1, 2), r AS (SELECT series, day, arg_max(token, position) AS t FROM cells WHERE position >= 25 GROUP BY 1, 2)
+@query("changed_values", f"""WITH {_CELLS}, l AS (SELECT series, day, arg_min(token, position) AS t FROM cells WHERE position < 20 GROUP BY 1, 2), r AS (SELECT series, day, arg_max(token, position) AS t FROM cells WHERE position >= 20 GROUP BY 1, 2)
 SELECT coalesce(l.series, r.series) AS series, count(*) FILTER (r.series IS NULL)::BIGINT AS removed, count(*) FILTER (l.series IS NULL)::BIGINT AS added, count(*) FILTER (l.t <> r.t)::BIGINT AS changed FROM l FULL JOIN r ON l.series = r.series AND l.day = r.day GROUP BY 1""")
 def changed_values(spark, sf):
     c = cells(spark, sf)
-    left = c.where("position < 15").groupBy("series", "day").agg(F.min_by("token", "position").alias("token"))
-    right = c.where("position >= 25").groupBy("series", "day").agg(F.max_by("token", "position").alias("token"))
+    left = c.where("position < 20").groupBy("series", "day").agg(F.min_by("token", "position").alias("token"))
+    right = c.where("position >= 20").groupBy("series", "day").agg(F.max_by("token", "position").alias("token"))
     return bitemporal.changed_values(left, right)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-CUT = 0.53  # where the last digit is cut; halves depend on the order in which doubles were added
+CUT = 0.499  # values are rounded half up; one within a thousandth of a half, whose side depends on the order in which doubles were added, goes up
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None):
 
 
 def fixed(column, digits: int = 6):
-    """A double at a fixed number of digits, by the same arithmetic as ``fixed_sql``."""
+    """A double rounded to a fixed number of digits, by the same arithmetic as ``fixed_sql``."""
     from pyspark.sql import functions as F
 
     scale = float(10**digits)
@@ -39,7 +39,7 @@ def fixed_sql(sql: str) -> str:
             comma = i if sql[i] == "," and depth == 1 else comma
             i += 1
         scale = f"1e{int(sql[comma + 1: i - 1])}"
-        sql = f"{sql[:at]}(floor(({sql[at + 6: comma]})::DOUBLE * {scale} + {1 - CUT:.2f}) / {scale})::DOUBLE{sql[i:]}"
+        sql = f"{sql[:at]}(floor(({sql[at + 6: comma]})::DOUBLE * {scale} + {1 - CUT:.3f}) / {scale})::DOUBLE{sql[i:]}"
         at = sql.find("round(")
     return sql
 

@@ -48,3 +48,27 @@ def dense(spark, sf_dir) -> DataFrame:
 
 DENSE = """daily AS (SELECT 'all' AS asset, o_orderdate AS ts, round(avg(o_totalprice), 2) AS close FROM orders GROUP BY 2),
 panel AS (SELECT asset, row_number() OVER (PARTITION BY asset ORDER BY ts) - 1 AS k, ts, close FROM daily)"""
+
+
+def weekly(spark, sf_dir) -> DataFrame:
+    """Weekly mean prices per order priority on the union calendar: asset, k, ts, close."""
+    o = table(spark, sf_dir, "orders")
+    week = F.date_trunc("week", "o_orderdate").cast("timestamp_ntz")
+    mean = o.groupBy(F.col("o_orderpriority").alias("asset"), week.alias("ts")).agg(fixed(F.avg("o_totalprice"), 2).alias("close"))
+    return series.union_calendar(mean).select("asset", F.col("k").cast("long").alias("k"), "ts", "close")
+
+
+WEEKLY = PANEL.replace("o_orderdate AS ts", "date_trunc('week', o_orderdate)::TIMESTAMP AS ts")
+
+
+def event_panel(spark, sf_dir, minutes: int) -> DataFrame:
+    """Closes of the event stream's bars on their union calendar: asset, k, ts, close."""
+    from tidewright.operators import bars
+
+    b = bars.ticks_to_bars(ticks(spark, sf_dir), minutes).select(F.col("pair").alias("asset"), "ts", "close")
+    return series.union_calendar(b).select("asset", F.col("k").cast("long").alias("k"), "ts", "close")
+
+
+def event_panel_sql(name: str, bucket: str) -> str:
+    return f"""{bars_sql(name + '_b', bucket)}, {name} AS (SELECT asset, row_number() OVER (PARTITION BY asset ORDER BY ts) - 1 AS k, ts, close
+ FROM (SELECT DISTINCT pair AS asset FROM {name}_b) CROSS JOIN (SELECT DISTINCT ts FROM {name}_b) LEFT JOIN (SELECT pair AS asset, ts, close FROM {name}_b) USING (asset, ts))"""

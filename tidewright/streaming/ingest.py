@@ -48,13 +48,15 @@ def stream_tops(messages: DataFrame, key: str, depth: int = 100) -> DataFrame:
         book = Book(depth)
         if state.exists:
             held = json.loads(state.get[0])
-            book.bids, book.asks = ({float(p): q for p, q in held[s]} for s in ("bids", "asks"))
+            book.read("snapshot", held["bids"], held["asks"])
         rows = []
         for m in pd.concat(list(frames)).sort_values("seq", kind="stable").itertuples():
-            book.apply(m.type, [(x["price"], x["qty"]) for x in m.bids], [(x["price"], x["qty"]) for x in m.asks])
-            if book.bids and book.asks:
-                rows.append((k[0], int(m.seq), max(book.bids), min(book.asks)))
-        state.update((json.dumps({"bids": list(book.bids.items()), "asks": list(book.asks.items())}),))
+            book.read(m.type, [(x["price"], x["qty"]) for x in m.bids], [(x["price"], x["qty"]) for x in m.asks])
+            if book.both():
+                bids, asks = book.ladder()
+                rows.append((k[0], int(m.seq), bids[0][0], asks[0][0]))
+        bids, asks = book.ladder()
+        state.update((json.dumps({"bids": bids, "asks": asks}),))
         yield pd.DataFrame(rows, columns=[key, "seq", "bid", "ask"])
 
     return messages.groupBy(key).applyInPandasWithState(run, f"{key} string, seq long, bid double, ask double", "book string", "append", GroupStateTimeout.NoTimeout)
