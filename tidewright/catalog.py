@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewright.plans import audit_queries, bars_queries, book_queries, overlay_queries, record_queries, series_queries  # noqa: F401  they register themselves
+from tidewright.plans import audit_queries, bars_queries, book_queries, grid_queries, overlay_queries, record_queries, series_queries  # noqa: F401  they register themselves
 from tidewright.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 FLAGSHIP = "ohlcv_bars"
