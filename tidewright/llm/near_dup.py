@@ -361,6 +361,7 @@ def near_duplicates(docs: DataFrame, k: int, percent: int = 80, halves: int = HA
     sketch = staged(sketches(docs, k, hashes), "sketches")
     usable = sketch.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
     nodes = usable.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("size"), F.min("s1").alias("s1"), F.min("s2").alias("s2"), F.min("halves").alias("halves"))
+    nodes = nodes.repartition(partitions(docs.sparkSession))  # each row becomes 2 * halves rows next, so few large partitions would be far too large
     nodes = staged(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")  # numbers hold once written
     comp = links(docs, nodes, k, percent, hashes)
     label = nodes.select("nid", "node", "doc_id").join(comp, "nid", "left").select("node", "doc_id", F.coalesce("root", "nid").alias("root"))

@@ -140,7 +140,7 @@ def cut_documents(docs: DataFrame, end_id: int = 1, unit: int = UNIT, path: str
             for d, s, b in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist(), ends):
                 queues.add(d, s, full[a:b])
                 a = b
-            if len(queues.rows) > 50_000:
+            if len(queues.rows) > 8_000:
                 yield emit()
         queues.close()
         if queues.rows:

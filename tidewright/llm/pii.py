@@ -30,7 +30,7 @@ from tidewright.llm.textunits import slices, words
 
 BASE_KINDS = ["email", "ip", "card", "phone"]
 CRF_KINDS = ["card", "id", "phone", "secret", "name", "address"]
-BATCH = 200_000
+BATCH = 60_000
 
 _KINDS = list(dict.fromkeys([*BASE_KINDS, *CRF_KINDS]))
 
@@ -395,7 +395,7 @@ class Crf:
     and added up in numpy. ``KNOWN`` distinct words are remembered at most.
     """
 
-    KNOWN = 200_000
+    KNOWN = 100_000
 
     def __init__(self, index: dict[str, int], emit: np.ndarray, step: np.ndarray):
         self.index, self.emit, self.step = index, emit.astype(np.float32), step.astype(np.float32)
