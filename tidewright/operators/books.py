@@ -203,24 +203,34 @@ def seasonality_gates(df: DataFrame, ret: str, cell: str, year: str, min_count:
 def boundary_vol(closes: DataFrame, boundaries: DataFrame, seconds: int, window: int, least: int) -> DataFrame:
     """asset, ts, rv: the deviation of log returns between the closes of the ``window`` bars of ``seconds`` that end by each boundary; null with fewer than ``least`` of them, or than 3.
 
-    ``closes``: asset, ts (a bar's start), close. ``boundaries``: ts.
+    A move to or from a close of 0 has no finite log return; rv is NaN where one
+    is among the returns. ``closes``: asset, ts (a bar's start), close.
+    ``boundaries``: ts.
     """
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    step = F.ln(F.col("close") / F.lag("close").over(W.partitionBy("asset").orderBy("ts")))
-    rows = closes.select("asset", (us("ts") + seconds * 1_000_000).alias("t"), F.lit(0).alias("side"), step.alias("lr"), F.lit(None).cast(boundaries.schema["ts"].dataType).alias("ts"))
+    prev = F.lag("close").over(W.partitionBy("asset").orderBy("ts"))
+    steps = closes.withColumn("prev", prev).withColumn("ratio", F.when(F.col("prev") != 0, F.col("close") / F.col("prev")))
+    finite = F.coalesce((F.col("ratio") > 0) & (F.col("ratio") < float("inf")), F.lit(False))
+    odd = (F.col("close").isNotNull() & F.col("prev").isNotNull() & ~finite).cast("int")
+    rows = steps.select("asset", (us("ts") + seconds * 1_000_000).alias("t"), F.lit(0).alias("side"), F.when(finite, F.ln("ratio")).alias("lr"), odd.alias("odd"), F.lit(None).cast(boundaries.schema["ts"].dataType).alias("ts"))
     grid = closes.select("asset").distinct().crossJoin(F.broadcast(boundaries.select("ts").distinct()))  # a few assets by the boundaries
-    rows = rows.withColumn("ok", F.lit(1)).unionByName(grid.select("asset", us("ts").alias("t"), F.lit(1).alias("side"), F.lit(None).cast("double").alias("lr"), "ts", F.lit(None).cast("int").alias("ok")))
+    rows = rows.withColumn("ok", F.lit(1)).unionByName(grid.select("asset", us("ts").alias("t"), F.lit(1).alias("side"), F.lit(None).cast("double").alias("lr"), F.lit(None).cast("int").alias("odd"), "ts", F.lit(None).cast("int").alias("ok")))
     w = W.partitionBy("asset").orderBy("t").rangeBetween(-(window - 1) * seconds * 1_000_000, 0)
-    n, first = F.count("ok").over(w), F.min_by(F.struct("lr"), F.when(F.col("ok") == 1, F.col("t"))).over(w)["lr"]
-    s1, s2 = F.sum("lr").over(w), F.sum(F.col("lr") * F.col("lr")).over(w)
-    first = F.coalesce(first, F.lit(0.0))  # the first bar's return starts outside the window
-    m = n - 1
-    rv = F.sqrt(F.greatest(F.lit(0.0), (s2 - first * first - (s1 - first) * (s1 - first) / m) / (m - 1)))
-    return rows.withColumn("rv", F.when((n >= least) & (n >= 3), rv)).where("side = 1").select("asset", "ts", "rv")
+    first = F.min_by(F.struct("lr", "odd"), F.when(F.col("ok") == 1, F.col("t"))).over(w)
+    sums = rows.select("asset", "ts", "side", F.count("ok").over(w).alias("n"), F.count("lr").over(w).alias("m"), F.sum("odd").over(w).alias("odd"), first.alias("first"), F.sum("lr").over(w).alias("s1"), F.sum(F.col("lr") * F.col("lr")).over(w).alias("s2")).where("side = 1")
+    one = F.coalesce(F.col("first.lr"), F.lit(0.0))  # the first bar's return starts outside the window
+    sums = sums.select("asset", "ts", "n", (F.col("m") - F.col("first.lr").isNotNull().cast("int")).alias("m"), (F.col("odd") - F.coalesce(F.col("first.odd"), F.lit(0))).alias("odd"), (F.col("s1") - one).alias("s1"), (F.col("s2") - one * one).alias("s2"))
+    rv = F.sqrt(F.greatest(F.lit(0.0), (F.col("s2") - F.col("s1") * F.col("s1") / F.col("m")) / (F.col("m") - 1)))
+    rv = F.when(F.col("odd") > 0, float("nan")).when(F.col("m") >= 2, rv)
+    return sums.select("asset", "ts", F.when((F.col("n") >= least) & (F.col("n") >= 3), rv).alias("rv"))
 
 
 def vol_state_scale(vols: DataFrame, history: int, threshold: float = 1.5, scale: float = 0.5) -> DataFrame:
-    """ts, state and scale: the mean over assets of the present volatility over the median of the asset's own ``history`` readings before it (1 before it has as many), and ``scale`` where that is above the threshold, else 1."""
+    """ts, state and scale: the mean over assets of the present volatility over the median of the asset's own ``history`` readings before it (1 before it has as many), and ``scale`` where that is above the threshold, else 1.
+
+    A NaN among the volatilities sorts last; a state that it reaches is NaN,
+    above every threshold.
+    """
     w = W.partitionBy("asset").orderBy("ts").rowsBetween(-history, -1)
     read = vols.where("rv is not null")
     xs = F.sort_array(F.collect_list("rv").over(w))  # at most `history` values

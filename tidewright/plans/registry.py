@@ -26,7 +26,9 @@ def fixed(column, digits: int = 6):
 
     scale = float(10**digits)
     c = F.col(column) if isinstance(column, str) else column
-    return (F.floor(c.cast("double") * scale + (1 - CUT)) / scale).cast("double")
+    x = c.cast("double") * scale + (1 - CUT)
+    whole = F.when(F.abs(x) < 2.0**62, F.floor(x).cast("double")).otherwise(x)  # Spark's floor is a long, which has no NaN and no infinity
+    return whole / scale
 
 
 def fixed_sql(sql: str) -> str:
