@@ -102,17 +102,23 @@ def density_by_year(bars: DataFrame, keys: list[str], seconds: int) -> DataFrame
     return years.select(*keys, "year", ideal.alias("ideal")).join(have, [*keys, "year"], "left").select(*keys, "year", F.coalesce("rows", F.lit(0)).alias("rows"), (100.0 * F.coalesce("rows", F.lit(0)) / F.col("ideal")).alias("density"))
 
 
-def seam(fine: DataFrame, coarse: DataFrame, keys: list[str], price_tolerance: float = 1e-9, volume_tolerance: float = 5e-16) -> DataFrame:
+def seam(fine: DataFrame, coarse: DataFrame, keys: list[str], price_tolerance: float = 1e-9, volume_tolerance: float = 5e-16, least: float = 1e-12) -> DataFrame:
     """Per key: how a finer series, built up to hours, agrees with the hourly one. Both: keys, ts, open, high, low, close, volume, count.
 
     Prices agree within a relative tolerance, volumes within another, as their
-    sums differ in order, counts exactly. Without a common hour there is no
-    greatest difference, and no agreement.
+    sums differ in order, counts exactly. Differences are relative to the
+    hourly value, or to ``least`` where that is smaller; with a ``least`` of 0
+    one to an hourly 0 is infinite, or NaN if both are 0, and a mismatch either
+    way. Without a common hour there is no greatest difference, and no agreement.
     """
     hour = F.date_trunc("hour", "ts").cast(coarse.schema["ts"].dataType)
     built = fine.groupBy(*keys, hour.alias("ts")).agg(F.min_by("open", "ts").alias("o"), F.max("high").alias("h"), F.min("low").alias("l"), F.max_by("close", "ts").alias("c"), F.sum("volume").alias("v"), F.sum("count").alias("n"))
     both = built.join(coarse, [*keys, "ts"])
-    apart = lambda a, b: F.abs(F.col(a) - F.col(b)) / F.greatest(F.abs(F.col(b)), F.lit(1e-12))
+
+    def apart(a: str, b: str) -> Column:
+        off, base = F.abs(F.col(a) - F.col(b)), F.greatest(F.abs(F.col(b)), F.lit(float(least)))
+        return F.when(base > 0, F.try_divide(off, base)).when(off > 0, float("inf")).when(off == 0, float("nan"))
+
     both = both.withColumn("price", F.greatest(*[apart(a, b) for a, b in zip("ohlc", ("open", "high", "low", "close"))])).withColumn("vol", apart("v", "volume"))
     off = {"price_mismatch": F.col("price") > price_tolerance, "volume_mismatch": F.col("vol") > volume_tolerance, "count_mismatch": F.col("n") != F.col("count")}
     both = both.withColumns(off)
