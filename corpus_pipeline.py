@@ -3,6 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and works on every row its predecessor
 kept; all but the last return the columns of ``documents``. Extra columns pass
 through; null texts fail the quality rules; empty tables give empty results.
+Stages start with the heap that the one before them no longer needs given back.
 """
 
 from __future__ import annotations
@@ -10,31 +11,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.llm import decontaminate, near_dup, packing, pii, quality
-from tidewright.llm.common import documents, staged
+from tidewright.llm.common import documents, staged, trim_heaps
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the quality model, trained on the labelled ones among them."""
+    trim_heaps(spark)
     return quality.keep_good(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest doc_id, of each group of near copies (five-word shingles, similarity 0.8 or more)."""
+    trim_heaps(spark)
     return near_dup.drop_near_duplicates(docs, k=5, percent=80)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage."""
+    trim_heaps(spark)
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data masked in the text."""
+    trim_heaps(spark)
     return pii.mask(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens, mixed by source."""
+    trim_heaps(spark)
     return packing.pack(docs)
 
 

@@ -50,3 +50,21 @@ def test_stages_take_odd_tables(spark):
             out.count()
             if name != "packing":
                 assert out.columns == docs.columns
+
+
+def test_stages_give_free_heap_back(spark, sf, monkeypatch):
+    """The pipeline: executors kept the heap that near_duplicates had taken, beside the workers of later stages."""
+    from tidewright.llm import common
+
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    garbage = [spark._jvm.java.nio.ByteBuffer.allocate(400 << 20) for _ in range(4)]
+    for b in garbage:
+        spark.sparkContext._gateway.detach(b)
+    full = runtime.totalMemory()
+    common.trim_heaps(spark)
+    assert runtime.totalMemory() < full - (800 << 20)
+    called = []
+    monkeypatch.setattr(corpus_pipeline, "trim_heaps", called.append)
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, common.documents(spark, sf).limit(0), sf)
+    assert len(called) == len(corpus_pipeline.STAGES)
